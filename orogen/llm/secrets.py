@@ -105,9 +105,10 @@ def report(found: DataFrame) -> DataFrame:
     """What :func:`scan` found, as counts, a digest of the base spans, and all spans as a string."""
     spans = F.col("spans")
     n = lambda test: F.size(F.filter(spans, test)).cast("long")
+    of_kind = lambda k: n(lambda s: s["k"] == k)
     return found.select(
         "doc_id",
-        *[n(lambda s, k=k: s["k"] == k).alias(f"n_{KINDS[k][0]}") for k in range(BASE)],
+        *[of_kind(k).alias(f"n_{KINDS[k][0]}") for k in range(BASE)],
         F.sha2(_joined(F.filter(spans, lambda s: s["k"] < BASE)), 256).alias("base_sha256"),
         _joined(spans).alias("spans"),
         n(lambda s: s["live"]).alias("n_live"),

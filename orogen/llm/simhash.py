@@ -45,6 +45,12 @@ def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
 
+def _keyed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(2)), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["id", "hash", "fp"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp) for every row, fp a signed 64-bit long."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -96,6 +102,13 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     return left.join(right, same & ok).select("a", "b")
 
 
+def _classes(fps: DataFrame, distance: int) -> DataFrame:
+    """(fp, class) of every fingerprint in ``fps`` (fp, repeated)."""
+    distinct = staged(fps.select("fp").distinct(), "distinct")
+    comp = components(links(distinct, distance)).withColumnRenamed("node", "fp")
+    return distinct.join(comp, "fp", "left").select("fp", F.coalesce("component", "fp").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -104,13 +117,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anyone's component; a component with no other id has a null one. Other
     columns are left out, whatever their names. An empty table gives an empty one."""
     fps = staged(fingerprints(docs, id_col, text_col, width), "simhash")
-    reps = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    comp = components(links(reps.select("fp"), distance)).withColumnRenamed("node", "fp")
-    class_of = reps.join(comp, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
-    least = class_of.groupBy("c").agg(F.min("rep").alias("component_id"))
-    known = class_of.join(least, "c").select("fp", "component_id")
+    class_of = _classes(fps, distance)
+    reps = fps.groupBy("fp").agg(F.min("id").alias("rep")).join(class_of, "fp")
+    least = reps.groupBy("class").agg(F.min("rep").alias("component_id"))
+    known = staged(reps.join(least, "class").select("fp", "component_id"), "components")
     return fps.join(known, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: that of the smallest id, and of
+    repeated rows one. Rows with a null id give way to others. All columns pass through."""
+    row = {"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.col(text_col).cast("string"))}
+    marked = docs.withColumns(row)
+    rows = marked.select("__id", "__hash", F.col(text_col).cast("string").alias("text"))
+    fps = staged(rows.mapInArrow(lambda it: _keyed(it, width), "id long, hash long, fp long"), "simhash")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    best = fps.groupBy("fp").agg(F.min(order).alias("row")).join(_classes(fps.select("fp"), distance), "fp")
+    stay = best.groupBy("class").agg(F.min("row").alias("row")).select("row.id", "row.hash")
+    kept = marked.join(stay, marked["__id"].eqNullSafe(stay["id"]) & (marked["__hash"] == stay["hash"]), "left_semi")
+    return kept.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
