@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_c
     spark = docs.sparkSession
     trusted = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("q")).where("q = 1").select("__id")
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    texts = rows.where(F.length("text") > 0).join(trusted, "__id", "left_semi")
+    # labels grow with the corpus, so they are merged at every size and never sent to all tasks
+    texts = rows.where(F.length("text") > 0).join(trusted.hint("merge"), "__id", "left_semi")
     counts = staged(ngram_counts(texts), "counts")
     if not counts.take(1):
         return Model(None, "", None, None)
