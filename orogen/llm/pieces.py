@@ -239,23 +239,28 @@ class MergeDropout:
                 if not len(live):
                     break
             merged = self._merge(ids[r, j], ids[r, j + 1])
-            shift = lambda m, first, fill: np.concatenate([np.where(np.arange(m.shape[1] - 1) >= first[:, None], m[:, 1:], m[:, :-1]), np.full((len(m), 1), fill, m.dtype) if fill is not None else m[:, -1:]], axis=1)
-            ids, pos, cand = shift(ids, j + 1, -3), shift(pos, j + 1, None), shift(cand, j, NONE)
+            after = np.arange(width - 1) >= j[:, None]
+            np.copyto(cand[:, :-1], cand[:, 1:].copy(), where=after[:, :-1])
+            np.copyto(ids[:, 1:-1], ids[:, 2:].copy(), where=after[:, :-1])
+            np.copyto(pos[:, 1:-1], pos[:, 2:].copy(), where=after)
+            cand[:, -1], ids[:, -1] = NONE, -3
             ids[r, j] = merged
             for k in (j - 1, j):  # the pairs to either side are new
                 ok = np.nonzero((k >= 0) & (k < width - 1))[0]
                 c = k[ok]
                 cand[ok, c] = self._candidates(key[ok], pos[ok, c], pos[ok, c + 1], pos[ok, c + 2], ids[ok, c], ids[ok, c + 1])
-        for x, i in enumerate(rows):
-            row = done_ids[x].tolist()
-            if -3 in row:
-                row = row[: row.index(-3)]
-            if -2 in row:
-                s, p = " " + some[i], done_pos[x]
-                row = [y for k, t in enumerate(row) for y in ([t] if t >= 0 else self.v.char_bytes(s[p[k]]))]
-            out[i] = tuple(row)
-
-    def learn(self, texts: list[list[str]], turns: list[int], most: int = 100_000) -> None:
+        has = done_ids != -3
+        ends = np.cumsum(has.sum(axis=1)).tolist()
+        flat = done_ids[has].tolist()
+        start = 0
+        for i, end in zip(rows, ends, strict=True):
+            out[i] = tuple(flat[start:end])
+            start = end
+        for x in np.nonzero((done_ids == -2).any(axis=1))[0].tolist():
+            s, p = " " + some[rows[x]], done_pos[x]
+            out[rows[x]] = tuple(y for k, t in enumerate(out[rows[x]]) for y in ([t] if t >= 0 else self.v.char_bytes(s[p[k]])))
+
+    def learn(self, texts: list[list[str]], turns: list[int], most: int = 250_000) -> None:
         """Makes all words of ``texts`` known in the variants in which they occur."""
         for v in range(self.variants):
             need: set[str] = set()
@@ -310,7 +315,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(lambda it: _counted(it, path), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long")
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, seed: int, rate: float, variants: int, chunk: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, seed: int, rate: float, variants: int, chunk: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     e = encoder(path, seed, rate, variants)
     for b in batches:
         at = 0
