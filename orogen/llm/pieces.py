@@ -12,7 +12,6 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -149,7 +148,7 @@ class MergeDropout:
         for p, i in v.ids.items():
             if len(p) == 1:
                 self.char_id[ord(p)] = i
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants)]
+        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     def key(self, word: str, variant: int) -> int:
         return xxhash.xxh64_intdigest(word.encode(), (self.seed * 1_000_003 + variant) & 0xFFFFFFFFFFFFFFFF)
@@ -200,14 +199,14 @@ class MergeDropout:
         rank[has[drop]] = NONE
         return rank
 
-    def batch(self, some: list[str], variant: int) -> list[tuple[int, ...]]:
-        """What :meth:`agenda` gives for each word, all words of a width at once."""
-        out: list[tuple[int, ...]] = [()] * len(some)
+    def batch(self, some: list[str], variant: int) -> list[bytes]:
+        """What :meth:`agenda` gives for each word, as raw 32-bit ids, all words of a width at once."""
+        out = [b""] * len(some)
         by_len: dict[int, list[int]] = {}
         for i, w in enumerate(some):
             n = len(w) + 1
             if n > LONG:
-                out[i] = tuple(self.agenda(w, variant))
+                out[i] = np.array(self.agenda(w, variant), "<i4").tobytes()
             else:
                 by_len.setdefault((n + 3) // 4 * 4, []).append(i)
         for width, rows in by_len.items():
@@ -250,17 +249,18 @@ class MergeDropout:
                 c = k[ok]
                 cand[ok, c] = self._candidates(key[ok], pos[ok, c], pos[ok, c + 1], pos[ok, c + 2], ids[ok, c], ids[ok, c + 1])
         has = done_ids != -3
-        ends = np.cumsum(has.sum(axis=1)).tolist()
-        flat = done_ids[has].tolist()
+        ends = (4 * np.cumsum(has.sum(axis=1))).tolist()
+        flat = done_ids[has].astype("<i4").tobytes()
         start = 0
         for i, end in zip(rows, ends, strict=True):
-            out[i] = tuple(flat[start:end])
+            out[i] = flat[start:end]
             start = end
         for x in np.nonzero((done_ids == -2).any(axis=1))[0].tolist():
             s, p = " " + some[rows[x]], done_pos[x]
-            out[rows[x]] = tuple(y for k, t in enumerate(out[rows[x]]) for y in ([t] if t >= 0 else self.v.char_bytes(s[p[k]])))
+            ids = np.frombuffer(out[rows[x]], "<i4").tolist()
+            out[rows[x]] = np.array([y for k, t in enumerate(ids) for y in ([t] if t >= 0 else self.v.char_bytes(s[p[k]]))], "<i4").tobytes()
 
-    def learn(self, texts: list[list[str]], turns: list[int], most: int = 250_000) -> None:
+    def learn(self, texts: list[list[str]], turns: list[int], most: int = 150_000) -> None:
         """Makes all words of ``texts`` known in the variants in which they occur."""
         for v in range(self.variants):
             need: set[str] = set()
@@ -271,13 +271,13 @@ class MergeDropout:
             new = list(need.difference(self.known[v]))
             self.known[v].update(zip(new, self.batch(new, v), strict=True))
 
-    def encode(self, ws: list[str], turn: int) -> list[int]:
+    def encode(self, ws: list[str], turn: int) -> np.ndarray:
         """Word ``i`` of a text takes variant ``(i + turn) % variants``. The words must be known."""
-        out: list = [()] * len(ws)
+        out = [b""] * len(ws)
         for v in range(self.variants):
             at = (v - turn) % self.variants
             out[at :: self.variants] = map(self.known[v].__getitem__, ws[at :: self.variants])
-        return list(chain.from_iterable(out))
+        return np.frombuffer(b"".join(out), "<i4")
 
 
 @lru_cache(maxsize=2)
@@ -330,9 +330,9 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, seed: int, rate: floa
             turns = [turn_of(k, seed) for k in keys[at : at + len(some)]]
             e.learn(split, turns)
             ids = [e.encode(w, turn) for w, turn in zip(split, turns, strict=True)]
-            back = [e.v.decode(x) == t for x, t in zip(ids, some, strict=True)]
+            back = [e.v.decode(x.tolist()) == t for x, t in zip(ids, some, strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), lists, pa.array(back)], names=["doc_id", "ids", "lossless"])
             at += len(some)
 
