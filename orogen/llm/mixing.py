@@ -45,18 +45,17 @@ def rake(cells: DataFrame, alpha: dict[str, float], rounds: int) -> DataFrame:
     Each round scales the weights so that one dimension's sums meet its targets, then the
     next. Sums are grouped with partial sums and joined back, so that a source or
     language with a great many cells is never in one task."""
-    goals = {}
-    for d in DIMS:
-        by = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0").withColumn("p", F.pow(F.col("t").cast("double"), F.lit(alpha[d])))
-        total = by.agg(F.sum("p").alias("all")).collect()[0]["all"]
-        goals[d] = staged(by.select(d, (F.col("p") / F.lit(total or 1.0)).alias("goal")), f"goal-{d}")
     total = cells.agg(F.sum("tokens")).collect()[0][0] or 0
     w = cells.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total or 1)))
+    for d in DIMS:
+        by = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0").withColumn("p", F.pow(F.col("t").cast("double"), F.lit(alpha[d])))
+        whole = by.agg(F.sum("p").alias("all")).collect()[0]["all"]
+        w = w.join(by.select(d, (F.col("p") / F.lit(whole or 1.0)).alias(f"goal_{d}")), d)
+    w = staged(w, "weights")
     for _ in range(rounds):
-        for d in DIMS:
-            now = w.groupBy(d).agg(F.sum("share").alias("now")).join(goals[d], d).select(d, (F.col("goal") / F.col("now")).alias("f"))
-            w = w.join(now, d).withColumn("share", F.col("share") * F.col("f")).select(*DIMS, "tokens", "share")
-        w = staged(w, "raked")
+        for d in DIMS:  # written each time: a step reads the cells twice, and steps on steps would double that
+            now = w.groupBy(d).agg(F.sum("share").alias("now"))
+            w = staged(w.join(now, d).withColumn("share", F.col("share") * F.col(f"goal_{d}") / F.col("now")).drop("now"), "raked")
     return w
 
 
