@@ -191,7 +191,11 @@ def unpack(data: bytes, tile: np.ndarray, r: kn.Rect, multiplier: int, extended:
     if src.take(1):
         at, value = 0, False
         while at < w * h:
-            run = src.take(8)
+            run = part = src.take(8)
+            while part == 255 and not src.excess:  # a long run goes on after a run of none
+                src.take(8)
+                part = src.take(8)
+                run += part
             if src.excess:
                 raise RuntimeError("a block's mask ended early")
             mask[at : at + run] = value
