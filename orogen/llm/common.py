@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +69,26 @@ def components(edges: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")
+
+
+def passing_columns(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For an operator that passes all columns of its first table through: columns get neutral
+    names inside, so none can clash with the operator's own. One that is named like a column
+    that the operator adds is replaced by it."""
+    signature = inspect.signature(f)
+
+    @wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        docs = next(iter(bound.arguments.values()))
+        inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+        for k, v in bound.arguments.items():
+            if k.endswith("_col"):
+                bound.arguments[k] = inner[v]
+        bound.arguments[next(iter(bound.arguments))] = docs.toDF(*inner.values())
+        out = f(*bound.args, **bound.kwargs)
+        added = [c for c in out.columns if c not in inner.values()]
+        return out.select(*[F.col(i).alias(c) for c, i in inner.items() if c not in added], *added)
+
+    return run

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm.common import staged, table
+from orogen.llm.common import passing_columns, staged, table
 
 DIMS = ("source", "lang", "topic")
 #: Exponents of the natural token shares that give the target shares: below one, the rare gain.
@@ -33,10 +33,10 @@ def topic(text: Column) -> Column:
     return out.otherwise("prose")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, topic_of) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_of) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))  # noqa: E731  a null is a value of its own
-    return docs.select("*", name("source").alias("__source"), name("lang").alias("__lang"), topic_of(text).alias("__topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("__tokens"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__key"))
+    return docs.select("*", name(source_col).alias("__source"), name(lang_col).alias("__lang"), topic_of(text).alias("__topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("__tokens"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__key"))
 
 
 def rake(cells: DataFrame, alpha: dict[str, float], rounds: int) -> DataFrame:
@@ -79,14 +79,15 @@ def uniform(key: Column, seed: int) -> Column:
     return bits / F.lit(2.0**52)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic_of=topic, alpha: dict[str, float] = ALPHA, rounds: int = ROUNDS, caps: int = CAPS, fraction: float = BUDGET, seed: int = SEED) -> DataFrame:
+@passing_columns
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of=topic, alpha: dict[str, float] = ALPHA, rounds: int = ROUNDS, caps: int = CAPS, fraction: float = BUDGET, seed: int = SEED) -> DataFrame:
     """``docs`` with ``__topic``, ``__tokens``, ``__probability`` and ``__sampled`` for every row.
 
     Target shares are the natural token shares of all documents to the power ``alpha``, made to sum to one; the
     budget is ``fraction`` of all tokens. Null sources and languages are values of their own; null texts are
     empty. A cell without tokens has probability 0. A repeated row is drawn with its twins, as is a
     null id with other null ids. Other columns pass through; an empty table gives an empty one."""
-    rows = _rows(docs, id_col, text_col, topic_of)
+    rows = _rows(docs, id_col, text_col, source_col, lang_col, topic_of)
     names = {f"__{d}": d for d in DIMS}
     cells = staged(rows.groupBy(*[F.col(a).alias(b) for a, b in names.items()]).agg(F.sum("__tokens").alias("tokens")), "cells")
     raked = rake(cells, alpha, rounds)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm.common import staged, table
+from orogen.llm.common import passing_columns, staged, table
 
 SYMBOLS, ORDER = 48, 4
 AGAIN, EDGE = 46, 47
@@ -200,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_c
     return model
 
 
+@passing_columns
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 1.35, least: int = 100) -> DataFrame:
     """``docs`` with ``__ppl``, ``__most`` and ``__keep``.
 

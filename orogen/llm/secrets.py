@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm.common import staged, table
+from orogen.llm.common import passing_columns, staged, table
 
 OPEN, SHUT, PLAIN = "", "", ""  # marks, and what stands for them in texts that hold them
 ASSIGN = (
@@ -116,6 +116,7 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
+@passing_columns
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", wide: int = 3, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every live secret in the text replaced by ``mask``; copied examples
     stay. All rows and columns are kept; a null text stays null."""

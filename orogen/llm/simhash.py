@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm.common import components, staged, table
+from orogen.llm.common import components, passing_columns, staged, table
 
 BITS = 64
 SEED = 42
@@ -124,6 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(known, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@passing_columns
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: that of the smallest id, and of
     repeated rows one. Rows with a null id give way to others. All columns pass through."""
