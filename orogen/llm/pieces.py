@@ -317,24 +317,28 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, seed: int, rate: float, variants: int, chunk: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     e = encoder(path, seed, rate, variants)
-    for b in batches:
-        at = 0
-        texts, keys = b.column(1), b.column(0).to_pylist()
-        while at < b.num_rows:
-            some: list[str] = []
-            size = 0
-            while at + len(some) < b.num_rows and size < chunk:
-                some.append(texts[at + len(some)].as_py() or "")
-                size += len(some[-1])
-            split = [words(t) if t else [] for t in some]
-            turns = [turn_of(k, seed) for k in keys[at : at + len(some)]]
-            e.learn(split, turns)
-            ids = [e.encode(w, turn) for w, turn in zip(split, turns, strict=True)]
-            back = [e.v.decode(x.tolist()) == t for x, t in zip(ids, some, strict=True)]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), lists, pa.array(back)], names=["doc_id", "ids", "lossless"])
-            at += len(some)
+    try:
+        for b in batches:
+            at = 0
+            texts, keys = b.column(1), b.column(0).to_pylist()
+            while at < b.num_rows:
+                some: list[str] = []
+                size = 0
+                while at + len(some) < b.num_rows and size < chunk:
+                    some.append(texts[at + len(some)].as_py() or "")
+                    size += len(some[-1])
+                split = [words(t) if t else [] for t in some]
+                turns = [turn_of(k, seed) for k in keys[at : at + len(some)]]
+                e.learn(split, turns)
+                ids = [e.encode(w, turn) for w, turn in zip(split, turns, strict=True)]
+                back = [e.v.decode(x.tolist()) == t for x, t in zip(ids, some, strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), lists, pa.array(back)], names=["doc_id", "ids", "lossless"])
+                at += len(some)
+    finally:  # the worker lives on, and may run other operators next
+        for known in e.known:
+            known.clear()
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, seed: int = 17, rate: float = 0.1, variants: int = 4) -> DataFrame:
