@@ -309,15 +309,22 @@ def _entropy_bits(n: np.ndarray) -> float:
     return float(n.sum() * np.log2(n.sum()) - (n * np.log2(n)).sum()) if n.size else 0.0
 
 
+def estimate_parts(planes: list[np.ndarray], extended: bool = False) -> tuple[float, float, float]:
+    """Bits of class entropy by context, run entropy over all planes, and remainders."""
+    ctx, mag, run, _ = (np.concatenate(c) for c in zip(*[symbols(p, contexts(p, extended, i)) for i, p in enumerate(planes)], strict=True))
+    classes = sum(_entropy_bits(np.bincount(mag[ctx == c])) for c in np.unique(ctx))
+    return classes, _entropy_bits(np.bincount(run[run > 0])), float(np.maximum(mag - 1, 0).sum())
+
+
 def estimate(res: np.ndarray, extended: bool = False) -> float:
-    """Bits of a plane: class entropy by context, run entropy, remainders."""
-    ctx, mag, run, _ = symbols(res, contexts(res, extended))
-    total = sum(_entropy_bits(np.bincount(mag[ctx == c])) for c in np.unique(ctx))
-    return total + _entropy_bits(np.bincount(run[run > 0])) + float(np.maximum(mag - 1, 0).sum())
+    """Bits of a plane."""
+    return sum(estimate_parts([res], extended))
 
 
 class Choice:
-    """What a block is coded with. ``planes``: residuals of the value or metre plane, and of the digit plane if there is one."""
+    """What a block is coded with. ``planes``: residuals of the value or metre plane, and of the digit plane if there is one; ``saved``: bits that the second pass saves."""
+
+    saved = 0.0
 
     def __init__(self, bits, primary=None, second=NONE, params=(), params2=(), digit=None, planes=()):
         self.bits, self.primary, self.second, self.params, self.params2, self.digit, self.planes = bits, primary, second, list(params), list(params2), digit, list(planes)
@@ -347,6 +354,7 @@ def select(g: np.ndarray, r: Rect, multiplier: int = 1, extended: bool = False,
         bits = 8 + 32 * len(params) + low
         if bits < best.bits:
             best = Choice(bits, k, took, params, more, planes=[coded])
+            best.saved = base - (low - 32 * len(more)) if took != NONE else 0.0
     if multiplier > 1:
         p = g - m * multiplier
         low = math.inf
