@@ -224,4 +224,6 @@ ORACLES = {
         o as (select *, case when i % 2 = 1 then q - ((b + coalesce(f, b)) >> 1) end as d from a), e as (select *, lag(d) over r as db, lead(d) over r as df from o window r as (partition by sb, y order by x))
         select sb, y, case when i % 2 = 1 then (n + 1) // 2 + i // 2 else i // 2 end as pos, case when i % 2 = 1 then d when n = 1 then q else q + ((coalesce(db, df) + coalesce(df, db) + 2) >> 2) end as coef from e""",
     "coarse_precision_sweep": _sweep(),
+    "codec_round_trip": f"with {EV} select y, x, q, nodata from ev",
+    "region_decode": f"with {EMB} select y - 40 as y, x - 20 as x, q from emb where x >= 20 and x < 50 and y >= 40 and y < 130",
 }

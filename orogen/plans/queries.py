@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orogen.functions import pixel as px
+from orogen.operators import codec, stats
 from orogen.operators import selection as sel
-from orogen.operators import stats
 from orogen.operators import stencils as st
 from orogen.operators.inpaint import inpaint
 from orogen.operators.symbols import contexts, entropy, mask_runs, symbols
@@ -253,12 +253,25 @@ def coarse_precision_sweep(spark, d):
     return out
 
 
+def codec_round_trip(spark, d):
+    """Events coded with digit planes and masks, and decoded again."""
+    return codec.decode(codec.encode(_ev(spark, d), 0.1, True, size=64, least=16), 0.1, True)
+
+
+def region_decode(spark, d):
+    """A region decoded from the tiles that it meets."""
+    x, y, w, h = 20, 40, 30, 90
+    blocks = codec.encode(_emb(spark, d).withColumn("nodata", F.lit(False)), size=SB, least=LEAST)
+    got = codec.decode(codec.region(blocks, x, y, w, h, SB))
+    return got.where(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1)).select((F.col("y") - y).alias("y"), (F.col("x") - x).alias("x"), "q")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         quantize, dequantize_error, nodata_mask, dequantize_masked, inpaint_rings, raw_stats, percentiles_nearest_rank, elevation_histogram50, quantized_stats, spatial_correlation, digit_plane_entropy,
         split_precision_planes, zigzag_class_hist, left_residual, gradient_residual, jpegls_residual, gap_residual, average_residual, median_residual, ls_weights, ls_residual, predictor_ranking, zero_run_symbols,
         extended_context_hist, block_cost_estimate, best_predictor_per_block, second_pass_choice, predictor_usage, fixed_grid_blocks, quadtree_leaves, quadtree_leaf_counts, index_offsets, entropy_budget, mask_rle,
-        roi_crop, roi_superblocks, verify_diff, left_decode, gradient_decode, cdf53_row_level1, coarse_precision_sweep,
+        roi_crop, roi_superblocks, verify_diff, left_decode, gradient_decode, cdf53_row_level1, coarse_precision_sweep, codec_round_trip, region_decode,
     )
 }
