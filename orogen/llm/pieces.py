@@ -124,17 +124,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def skipped(key: np.ndarray, left: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
-    """Whether each candidate merge of two adjacent spans is skipped: a keyed hash under ``rate``."""
-    at = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + middle.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + end.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    return (mix(mix(key ^ at)) >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
+def keys_of(turns: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The key of each occurrence of a word, from its text's key and its place there."""
+    return mix(mix(turns ^ np.uint64(0xD6E8FEB86659FD93)) + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class MergeDropout:
-    """Merges by priority, each candidate skipped at ``rate`` by a hash of seed, variant, word and the spans that it joins."""
+    """Merges by priority, each candidate skipped at ``rate`` by a hash of seed, text, place of the word and turn of the candidate.
 
-    def __init__(self, vocabulary: Vocabulary, seed: int, rate: float, variants: int):
-        self.v, self.seed, self.rate, self.variants = vocabulary, seed, rate, variants
+    Candidates come up in one order, best first, so the skips of an occurrence are the numbers of
+    the candidates that it passes over, and each gap between two of them is drawn from a keyed hash.
+    A word with given skips has one outcome, which is remembered; which skips an occurrence
+    has never depends on what is remembered. ``most`` bounds the memory only."""
+
+    def __init__(self, vocabulary: Vocabulary, seed: int, rate: float, most: int = 400_000):
+        self.v, self.seed, self.rate, self.most = vocabulary, seed, rate, most
         v = vocabulary
         order = np.argsort(-v.score, kind="stable")
         self.rank = np.empty(len(order), np.int32)  # equal scores share a rank, so the leftmost goes first
@@ -148,32 +152,60 @@ class MergeDropout:
         for p, i in v.ids.items():
             if len(p) == 1:
                 self.char_id[ord(p)] = i
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-
-    def key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(word.encode(), (self.seed * 1_000_003 + variant) & 0xFFFFFFFFFFFFFFFF)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all outcomes. Outcome ``i`` is of word ``word[i]`` with ``skips[i]``, after ``used[i]`` candidates."""
+        self.root: dict[str, int] = {}  # the outcome of each word without skips
+        self.child: dict[int, int] = {}  # from outcome << 32 | next skip
+        self.word: list[str] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.out: list[bytes] = []
+        self.used = np.empty(0, np.int64)
+
+    def gaps(self, keys: np.ndarray, k: int) -> np.ndarray:
+        """How many candidates each key lets pass after its skip ``k - 1``: ``g`` or more with probability (1 - rate) ** g."""
+        if self.rate <= 0:
+            return np.full(len(keys), NONE, np.int64)
+        if self.rate >= 1:
+            return np.zeros(len(keys), np.int64)
+        h = mix(keys + np.uint64((k + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
+        u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        return np.minimum(np.log(u) / np.log1p(-self.rate), NONE).astype(np.int64)
+
+    def _key(self, variant: int) -> np.ndarray:
+        return keys_of(np.array([variant & 0xFFFFFFFFFFFFFFFF], np.uint64), np.zeros(1))
 
     def agenda(self, word: str, variant: int) -> list[int]:
-        """Ids of a space and then ``word``, one merge after another from a heap."""
-        s, key, ids = " " + word, np.uint64(self.key(word, variant)), self.v.ids
+        """Ids of a space and then ``word`` at the first place of a text of key ``variant``."""
+        return self._agenda(word, self._key(variant))
+
+    def _agenda(self, word: str, key: np.ndarray) -> list[int]:
+        """One merge after another from a heap."""
+        s, ids, rank = " " + word, self.v.ids, self.rank
         n = len(s)
         end, before, alive = [i + 1 for i in range(n)], [i - 1 for i in range(n)], [True] * n
         heap: list[tuple[int, int, int, int]] = []
-        one = np.ones(1, np.uint64)
 
         def add(left: int, mid: int) -> None:
             if left < 0 or mid >= n:
                 return
             got = ids.get(s[left : end[mid]])
-            if got is not None and s[left:mid] in ids and s[mid : end[mid]] in ids and not skipped(one * key, np.array([left]), np.array([mid]), np.array([end[mid]]), self.rate)[0]:
-                heapq.heappush(heap, (int(self.rank[got]), left, mid, end[mid]))
+            if got is not None and s[left:mid] in ids and s[mid : end[mid]] in ids:
+                heapq.heappush(heap, (int(rank[got]), left, mid, end[mid]))
 
         for i in range(n - 1):
             add(i, i + 1)
+        turn, k, skip = 0, 0, int(self.gaps(key, 0)[0])
         while heap:
             _, left, mid, stop = heapq.heappop(heap)
             if not (alive[left] and alive[mid]) or end[left] != mid or end[mid] != stop:
                 continue
+            turn += 1
+            if turn > skip:
+                k += 1
+                skip += 1 + int(self.gaps(key, k)[0])
+                continue
             end[left], alive[mid] = stop, False
             if stop < n:
                 before[stop] = left
@@ -191,63 +223,67 @@ class MergeDropout:
         at = np.minimum(np.searchsorted(self.pair_keys, q), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == q) & (a >= 0) & (b >= 0), self.pair_ids[at], -1)
 
-    def _candidates(self, key, left, middle, end, a, b) -> np.ndarray:
+    def _candidates(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         got = self._merge(a, b)
-        rank = np.where(got >= 0, self.rank[got], NONE).astype(np.int32)
-        has = np.nonzero(got >= 0)[0]
-        drop = skipped(key[has], left[has], middle[has], end[has], self.rate)
-        rank[has[drop]] = NONE
-        return rank
+        return np.where(got >= 0, self.rank[got], NONE).astype(np.int32)
 
     def batch(self, some: list[str], variant: int) -> list[bytes]:
-        """What :meth:`agenda` gives for each word, as raw 32-bit ids, all words of a width at once."""
-        out = [b""] * len(some)
+        """What :meth:`agenda` gives for each word, as raw 32-bit ids."""
+        return self._outcomes(some, np.repeat(self._key(variant), len(some)))
+
+    def _grow(self, some: list[str], skips: list[tuple[int, ...]]) -> range:
+        """New outcomes, of words with as many skips each; all words of a width at once."""
+        out, used = [b""] * len(some), np.zeros(len(some), np.int64)
         by_len: dict[int, list[int]] = {}
         for i, w in enumerate(some):
-            n = len(w) + 1
-            if n > LONG:
-                out[i] = np.array(self.agenda(w, variant), "<i4").tobytes()
-            else:
-                by_len.setdefault((n + 3) // 4 * 4, []).append(i)
+            by_len.setdefault((len(w) + 4) // 4 * 4, []).append(i)
         for width, rows in by_len.items():
             for at in range(0, len(rows), 8192):
-                self._wide(some, rows[at : at + 8192], width, variant, out)
-        return out
-
-    def _wide(self, some: list[str], rows: list[int], width: int, variant: int, out: list) -> None:
+                self._wide(some, skips, rows[at : at + 8192], width, out, used)
+        first = len(self.out)
+        self.word += some
+        self.skips += skips
+        self.out += out
+        self.used = np.concatenate([self.used, used])
+        return range(first, len(self.out))
+
+    def _wide(self, some: list[str], skips: list[tuple[int, ...]], rows: list[int], width: int, out: list, used: np.ndarray) -> None:
         texts = [(" " + some[i]).ljust(width, "\0") for i in rows]
         n = np.array([len(some[i]) + 1 for i in rows])
         ids = self.char_id[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].reshape(-1, width).copy()
         ids[np.arange(width) >= n[:, None]] = -3
-        seed = (self.seed * 1_000_003 + variant) & 0xFFFFFFFFFFFFFFFF
-        key = np.array([xxhash.xxh64_intdigest(some[i].encode(), seed) for i in rows], np.uint64)
-        pos = np.minimum(np.broadcast_to(np.arange(width + 1), (len(rows), width + 1)), n[:, None]).astype(np.int32)
-        shape = (len(rows), width - 1)
-        flat = lambda x: np.ascontiguousarray(np.broadcast_to(x, shape)).reshape(-1)
-        cand = self._candidates(flat(key[:, None]), flat(pos[:, :-2]), flat(pos[:, 1:-1]), flat(pos[:, 2:]), flat(ids[:, :-1]), flat(ids[:, 1:])).reshape(shape)
-        live = np.arange(len(rows))
-        done_ids, done_pos = ids.copy(), pos.copy()
+        plan = np.array([skips[i] for i in rows], np.int64).reshape(len(rows), -1)
+        cand = self._candidates(ids[:, :-1], ids[:, 1:])
+        live, turns = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+        done_ids, turn = ids.copy(), 0
         while len(live):
             j = cand.argmin(axis=1)
             r = np.arange(len(live))
             go = cand[r, j] < NONE
             if not go.all():
-                done_ids[live[~go]], done_pos[live[~go]] = ids[~go], pos[~go]
-                ids, pos, cand, key, live, j = ids[go], pos[go], cand[go], key[go], live[go], j[go]
+                done_ids[live[~go]], turns[live[~go]] = ids[~go], turn
+                ids, plan, cand, live, j = ids[go], plan[go], cand[go], live[go], j[go]
                 r = np.arange(len(live))
                 if not len(live):
                     break
-            merged = self._merge(ids[r, j], ids[r, j + 1])
             after = np.arange(width - 1) >= j[:, None]
+            passed = (plan == turn).any(axis=1)
+            turn += 1
+            if passed.any():
+                cand[r[passed], j[passed]] = NONE
+                after[passed] = False
+                r = r[~passed]
+                j = j[r]
+            merged = self._merge(ids[r, j], ids[r, j + 1])
             np.copyto(cand[:, :-1], cand[:, 1:].copy(), where=after[:, :-1])
             np.copyto(ids[:, 1:-1], ids[:, 2:].copy(), where=after[:, :-1])
-            np.copyto(pos[:, 1:-1], pos[:, 2:].copy(), where=after)
-            cand[:, -1], ids[:, -1] = NONE, -3
+            cand[r, -1], ids[r, -1] = NONE, -3
             ids[r, j] = merged
             for k in (j - 1, j):  # the pairs to either side are new
-                ok = np.nonzero((k >= 0) & (k < width - 1))[0]
-                c = k[ok]
-                cand[ok, c] = self._candidates(key[ok], pos[ok, c], pos[ok, c + 1], pos[ok, c + 2], ids[ok, c], ids[ok, c + 1])
+                ok = (k >= 0) & (k < width - 1)
+                x, c = r[ok], k[ok]
+                cand[x, c] = self._candidates(ids[x, c], ids[x, c + 1])
+        used[rows] = turns
         has = done_ids != -3
         ends = (4 * np.cumsum(has.sum(axis=1))).tolist()
         flat = done_ids[has].astype("<i4").tobytes()
@@ -256,28 +292,51 @@ class MergeDropout:
             out[i] = flat[start:end]
             start = end
         for x in np.nonzero((done_ids == -2).any(axis=1))[0].tolist():
-            s, p = " " + some[rows[x]], done_pos[x]
+            s = " " + some[rows[x]]
+            unknown = iter([c for c in s if self.char_id[ord(c)] == -2])  # never merged, so they stay in order
             ids = np.frombuffer(out[rows[x]], "<i4").tolist()
-            out[rows[x]] = np.array([y for k, t in enumerate(ids) for y in ([t] if t >= 0 else self.v.char_bytes(s[p[k]]))], "<i4").tobytes()
-
-    def learn(self, texts: list[list[str]], turns: list[int], most: int = 150_000) -> None:
-        """Makes all words of ``texts`` known in the variants in which they occur."""
-        for v in range(self.variants):
-            need: set[str] = set()
-            for ws, turn in zip(texts, turns, strict=True):
-                need.update(ws[(v - turn) % self.variants :: self.variants])
-            if len(self.known[v]) > most:
-                self.known[v].clear()
-            new = list(need.difference(self.known[v]))
-            self.known[v].update(zip(new, self.batch(new, v), strict=True))
+            out[rows[x]] = np.array([y for t in ids for y in ([t] if t >= 0 else self.v.char_bytes(next(unknown)))], "<i4").tobytes()
+
+    def _outcomes(self, some: list[str], keys: np.ndarray) -> list[bytes]:
+        """Raw 32-bit ids of each word with its key's own skips."""
+        if len(self.out) > self.most:
+            self.clear()
+        new = set(some).difference(self.root)
+        long = [w for w in new if len(w) >= LONG]
+        short = [w for w in new if len(w) < LONG]
+        self.root.update(zip(short, self._grow(short, [()] * len(short)), strict=True))
+        self.root.update(dict.fromkeys(long, -1))
+        node = np.array(list(map(self.root.__getitem__, some)), np.int64)
+        for w in long:
+            del self.root[w]
+        at, k = np.nonzero(node >= 0)[0], 0
+        skip = np.full(len(at), -1, np.int64)
+        while len(at):
+            skip = skip + 1 + self.gaps(keys[at], k)
+            more = skip < self.used[node[at]]
+            at, skip, k = at[more], skip[more], k + 1
+            to, back = np.unique(node[at] << 32 | skip, return_inverse=True)
+            to = to.tolist()
+            new = [x for x in to if x not in self.child]
+            words = [self.word[x >> 32] for x in new]
+            self.child.update(zip(new, self._grow(words, [(*self.skips[x >> 32], x & 0xFFFFFFFF) for x in new]), strict=True))
+            node[at] = np.array([self.child[x] for x in to], np.int64)[back]
+        got = list(map(self.out.__getitem__, node.tolist())) if self.out else [b""] * len(some)
+        for i in np.nonzero(node < 0)[0].tolist():
+            got[i] = np.array(self._agenda(some[i], keys[i : i + 1]), "<i4").tobytes()
+        return got
+
+    def learn(self, texts: list[list[str]], turns: list[int]) -> list[np.ndarray]:
+        """Ids of each text of words, by its key. Outcomes stay known for the texts to come."""
+        sizes = [len(ws) for ws in texts]
+        ends = np.cumsum(sizes)
+        places = np.arange(sum(sizes)) - np.repeat(ends - sizes, sizes)
+        keys = keys_of(np.repeat(np.array(turns, np.uint64), sizes), places)
+        got = self._outcomes([w for ws in texts for w in ws], keys)
+        return [np.frombuffer(b"".join(got[end - n : end]), "<i4") for n, end in zip(sizes, ends.tolist(), strict=True)]
 
     def encode(self, ws: list[str], turn: int) -> np.ndarray:
-        """Word ``i`` of a text takes variant ``(i + turn) % variants``. The words must be known."""
-        out = [b""] * len(ws)
-        for v in range(self.variants):
-            at = (v - turn) % self.variants
-            out[at :: self.variants] = map(self.known[v].__getitem__, ws[at :: self.variants])
-        return np.frombuffer(b"".join(out), "<i4")
+        return self.learn([ws], [turn])[0]
 
 
 @lru_cache(maxsize=2)
@@ -291,8 +350,8 @@ def counter(path: str) -> Counter:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, seed: int, rate: float, variants: int) -> MergeDropout:
-    return MergeDropout(vocabulary(path), seed, rate, variants)
+def encoder(path: str, seed: int, rate: float) -> MergeDropout:
+    return MergeDropout(vocabulary(path), seed, rate)
 
 
 def turn_of(doc_id: int | None, seed: int) -> int:
@@ -315,8 +374,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(lambda it: _counted(it, path), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long")
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, seed: int, rate: float, variants: int, chunk: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    e = encoder(path, seed, rate, variants)
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, seed: int, rate: float, chunk: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    e = encoder(path, seed, rate)
     try:
         for b in batches:
             at = 0
@@ -329,28 +388,26 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, seed: int, rate: floa
                     size += len(some[-1])
                 split = [words(t) if t else [] for t in some]
                 turns = [turn_of(k, seed) for k in keys[at : at + len(some)]]
-                e.learn(split, turns)
-                ids = [e.encode(w, turn) for w, turn in zip(split, turns, strict=True)]
+                ids = e.learn(split, turns)
                 back = [e.v.decode(x.tolist()) == t for x, t in zip(ids, some, strict=True)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), lists, pa.array(back)], names=["doc_id", "ids", "lossless"])
                 at += len(some)
     finally:  # the worker lives on, and may run other operators next
-        for known in e.known:
-            known.clear()
+        e.clear()
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, seed: int = 17, rate: float = 0.1, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, seed: int = 17, rate: float = 0.1) -> DataFrame:
     """(doc_id, ids, lossless) for every row: the pieces of the whole text, and whether decoding them gives the text back.
 
-    Merges are skipped at ``rate`` by a keyed hash, so one word comes in up to ``variants``
-    segmentations, by its place in the text and the id. An empty text or a null one has no pieces.
+    Merges are skipped at ``rate`` by a keyed hash of the id and the word's place in the text, so every
+    occurrence of a word is drawn on its own, from all segmentations that skips can give. An empty text or a null one has no pieces.
     Repeated rows are encoded alike, a null id counts as a key of its own, other columns are left
     out, an empty table gives an empty one."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _encoded(it, path, seed, rate, variants), f"doc_id {kind}, ids array<int>, lossless boolean")
+    return rows.mapInArrow(lambda it: _encoded(it, path, seed, rate), f"doc_id {kind}, ids array<int>, lossless boolean")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -144,6 +144,24 @@ def test_pieces_equal_the_library_and_decode(spark):
     assert [back[i] for i in range(len(back))] == [*texts, "▁ mark"]
 
 
+def test_every_occurrence_draws_its_own_skips(spark):
+    v = pieces.vocabulary(pieces.MODEL)
+    e = pieces.MergeDropout(v, 1, 0.1)
+    ws = ["internationalization"] * 3000
+    (ids,) = e.learn([ws], [7])
+    keys = pieces.keys_of(np.full(3000, 7, np.uint64), np.arange(3000))
+    assert ids.tolist() == [x for w, i in zip(ws, range(3000), strict=True) for x in e._agenda(w, keys[i : i + 1])]
+    node = e.root[ws[0]]
+    plain, n = e.out[node], int(e.used[node])
+    got = e._outcomes(ws, keys)
+    assert len(set(got)) > 50 and e.most > len(e.out)
+    assert np.mean([x == plain for x in got]) >= 0.9**n - 0.05 and abs(np.mean(e.gaps(keys, 0) >= n) - 0.9**n) < 0.03
+    assert pieces.MergeDropout(v, 1, 0.1, 0).encode(ws, 7).tolist() == ids.tolist()
+    same = docs_of(spark, [(i, "seeded dropout varies", "en", "s") for i in range(300)])
+    rows = pieces.encode(same, rate=0.1).collect()
+    assert len({tuple(r["ids"]) for r in rows}) > 20 and all(r["lossless"] for r in rows)
+
+
 def test_counts_equal_the_unigram_library():
     from tokenizers import Tokenizer, models
 
