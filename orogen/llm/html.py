@@ -1,10 +1,11 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides a block by
-where it stands (menus, footers, adverts and the like are out, the article is in)
-and, where that says nothing, by length, link density and stop-word density. The
-second pass gives each short undecided block the label of its nearest decided
-neighbours.
+where it stands (menus, footers, adverts and the like are out), then by length, link
+density and stop-word density, with lower bars within an article element. Undecided
+blocks of an article go with it if it has a good block, or holds at least
+as much text as all good blocks of the page. The second pass gives each other
+undecided block the label of its nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ GOOD, BAD, OPEN = 1, -1, 0
 class Block:
     text: str
     linked: int  # characters within links
-    inside: bool  # in an article or main element
+    article: int  # the number of the nearest article or main element around it, or 0
     outside: bool  # in a menu, footer, advert ...
 
 
@@ -70,13 +71,14 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is outside the article
     parts: list[str] = []
-    linked = links = inside = outside = breaks = 0
+    within: list[int] = []  # numbers of the open article and main elements
+    linked = links = articles = outside = breaks = 0
 
     def flush() -> None:
         nonlocal parts, linked, breaks
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, min(linked, len(text)), inside > 0, outside > 0))
+            out.append(Block(text, min(linked, len(text)), within[-1] if within else 0, outside > 0))
         parts, linked, breaks = [], 0, 0
 
     def put(raw: str) -> None:
@@ -111,7 +113,8 @@ def blocks(page: str) -> list[Block]:
                 for t, o in stack[where:]:
                     outside -= o
                     links -= t == "a"
-                    inside -= t in ("article", "main")
+                    if t in ("article", "main"):
+                        within.pop()
                 del stack[where:]
             continue
         if tag == "br":
@@ -131,7 +134,7 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
             if tag == "body":
-                stack, outside, links, inside = [], 0, 0, 0
+                stack, within, outside, links = [], [], 0, 0
             if tag in ("p", "li", "dt", "dd") or len(tag) == 2 and tag[0] == "h":
                 while stack and (stack[-1][0] == "p" or stack[-1][0] not in BLOCK and any(t == "p" for t, _ in stack[-4:])):
                     t, o = stack.pop()  # a new block ends an open paragraph and what is open in it
@@ -139,34 +142,44 @@ def blocks(page: str) -> list[Block]:
                     links -= t == "a"
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        o = _outside(tag, m[3], inside)
+        o = _outside(tag, m[3], len(within))
         stack.append((tag, o))
         outside += o
         links += tag == "a"
-        inside += tag in ("article", "main")
+        if tag in ("article", "main"):
+            articles += 1
+            within.append(articles)
     flush()
     return out
 
 
-def first_pass(b: Block, has_article: bool, short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.30, most_links: float = 0.5) -> int:
+def first_pass(b: Block, short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.30, most_links: float = 0.5) -> int:
     if b.outside:
         return BAD
-    if has_article:
-        if not b.inside:
-            return BAD
-        return BAD if b.linked > 0.8 * len(b.text) and len(b.text) > 3 else GOOD
     density = b.linked / len(b.text)
     if density > most_links:
-        return BAD
+        return OPEN if b.article else BAD
     if len(b.text) < short:
-        return BAD if density > 0 and b.linked > 0.3 * len(b.text) else OPEN
+        return BAD if density > 0.3 and not b.article else OPEN
     words = b.text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
     if stops >= high:
         return GOOD
     if stops >= low:
-        return GOOD if len(b.text) >= long else OPEN
-    return BAD if len(b.text) < long else OPEN
+        return GOOD if len(b.text) >= long or b.article else OPEN
+    return BAD if len(b.text) < long and density > 0 and not b.article else OPEN
+
+
+def with_articles(found: list[Block], labels: list[int]) -> list[int]:
+    """Open blocks of an article that has a good block, or as much text besides links as all good blocks of the page, are good."""
+    decided = {b.article for b, x in zip(found, labels, strict=True) if x == GOOD}
+    good = sum(len(b.text) for b, x in zip(found, labels, strict=True) if x == GOOD)
+    held: dict[int, int] = {}
+    for b, x in zip(found, labels, strict=True):
+        if b.article and x == OPEN:
+            held[b.article] = held.get(b.article, 0) + len(b.text) - b.linked
+    whole = {k for k, n in held.items() if k in decided or n >= max(good, 1)}
+    return [GOOD if x == OPEN and b.article in whole else x for b, x in zip(found, labels, strict=True)]
 
 
 def second_pass(labels: list[int]) -> list[int]:
@@ -192,8 +205,7 @@ def second_pass(labels: list[int]) -> list[int]:
 def extract(page: str | None) -> str:
     """The main text of the whole page: good blocks in order, one a line."""
     found = blocks(page or "")
-    has_article = any(b.inside and not b.outside for b in found)
-    labels = [first_pass(b, has_article) for b in found]
+    labels = with_articles(found, [first_pass(b) for b in found])
     if found and all(x != GOOD for x in labels) and any(x == OPEN for x in labels):
         labels = [GOOD if x == OPEN else x for x in labels]  # nothing decided for the article: what isn't ruled out is it
     return "\n".join(b.text for b, x in zip(found, second_pass(labels), strict=True) if x == GOOD)

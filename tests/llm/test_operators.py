@@ -244,6 +244,17 @@ def test_pages():
     assert "Home" not in got and got[-1].startswith("It was") and "more links here" not in got
 
 
+def test_block_rules_hold_beside_articles():
+    body = "It was the best of the times and it was the worst of the times for all of us who were there in the end of it."
+    teaser = '<article><h3><a href="/x">Some other story</a></h3><p>Short lead.</p></article>'
+    got = html.extract(f"<body><h1>A title</h1><div>{body * 3}</div><p>{body}</p><div><a href=z>more</a></div>{teaser * 3}</body>").split("\n")
+    assert got == ["A title", body * 3, body]
+    page = f'<main><h2><a href="/s">Linked head</a></h2><p>{body}</p><ul><li><a href="/r">A reference by its name</a></li></ul><p>End.</p></main><footer>x</footer>'
+    assert html.extract(page) == f"Linked head\n{body}\nA reference by its name\nEnd."
+    foreign = "Szybki brązowy lis przeskakuje nad leniwym psem, który śpi spokojnie przed domem swojego pana."
+    assert html.extract(f"<body><ul><li><a href=/a>Home</a></li></ul><p>{body * 2}</p><p>{foreign}</p><p>{body * 2}</p></body>") == f"{body * 2}\n{foreign}\n{body * 2}"
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>"), (None, None, None), (1, "u", "<p>x</p>")], "page_id long, url string, html string")
     assert sorted(repr(tuple(r)) for r in html.main_text(df).collect()) == sorted(map(repr, [(1, "u", "x", 1), (None, None, "", 0), (1, "u", "x", 1)]))
