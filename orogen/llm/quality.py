@@ -179,7 +179,7 @@ class Model:
         return out.withColumn("__keep", F.coalesce(F.col("__ppl") <= F.col("__most"), F.lit(False)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float, least: int) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float) -> Model:
     spark = docs.sparkSession
     trusted = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("q")).where("q = 1").select("__id")
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -195,22 +195,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_c
     ppl = staged(ppl, "perplexity").join(trusted, "__id", "left_semi")
     q = F.percentile_approx("__ppl", F.lit(quantile), F.lit(10_000)) * margin
     model.overall = ppl.agg(q.alias("q")).collect()[0]["q"]
-    by = ppl.groupBy(F.col("lang").alias("__lang")).agg(q.alias("__most"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
+    by = ppl.groupBy(F.col("lang").alias("__lang")).agg(q.alias("__most"))
     model.thresholds = staged(by, "thresholds")
     return model
 
 
 @passing_columns
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 1.35, least: int = 100) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 1.35) -> DataFrame:
     """``docs`` with ``__ppl``, ``__most`` and ``__keep``.
 
     Trusted: documents that ``labels`` (doc_id, quality) names with quality 1 and never with
     another or null one. A document is kept if its perplexity is at most ``margin`` times its language's
-    ``quantile`` over trusted documents; a language with fewer than ``least`` of them, or
-    a null one, takes the quantile over all. Null and empty texts have a null perplexity and are not kept.
+    ``quantile`` over trusted documents, however few they are; a null language is one of its own, and
+    a language without any takes the quantile over all. Null and empty texts have a null perplexity and are not kept.
     With nothing trusted all other texts are kept. Repeated rows are judged alike, an
     empty table gives an empty one, and other columns pass through untouched."""
-    model = train(docs, labels, id_col, text_col, lang_col, quantile, margin, least)
+    model = train(docs, labels, id_col, text_col, lang_col, quantile, margin)
     return model.judge(model.score(docs, text_col), text_col, lang_col)
 
 

@@ -233,6 +233,16 @@ def test_trusted_documents_are_kept_and_junk_goes(spark, sf):
     assert rate[1] > 0.97 and rate[0] < 0.1
 
 
+def test_a_rare_language_has_its_own_threshold(spark):
+    rows = [(i, "the cat sat on the mat and the dog ran " * 3, "en", "a") for i in range(200)]
+    rows += [(1000 + i, f"zażółć gęślą jaźń źdźbło {chr(97 + i % 26)} chrząszcz brzmi w trzcinie", "pl", "a") for i in range(4)] + [(2000, "zażółć gęślą jaźń źdźbło z chrząszcz brzmi w trzcinie", "pl", "a"), (3000, "the mat and the cat", "it", "a")]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows if r[0] < 2000], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.classify(docs_of(spark, rows), labels).collect()}
+    own = max(got[1000 + i]["__ppl"] for i in range(4)) * 1.35
+    assert all(math.isclose(got[k]["__most"], own, rel_tol=1e-9) for k in (1000, 2000)) and got[2000]["__keep"]
+    assert got[0]["__most"] < got[3000]["__most"]  # without trusted documents: the quantile over all
+
+
 def test_pages():
     page = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><a href=x>menu</a></nav>
     <article><h2>Head &amp; more</h2><p>One  two<br>three</p><aside>side</aside><div class="ad">buy</div><p>Last<script>x<p>y</script> word</p>
