@@ -5,7 +5,8 @@ from __future__ import annotations
 import inspect
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none: one of our own in local
+    mode, where there is one machine, and a folder of the warehouse on a cluster."""
     where = spark.conf.get(CHECKPOINT_DIR, None)
     if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='orogen-')}"
+        if spark.sparkContext.master.startswith("local"):
+            where = f"file://{tempfile.mkdtemp(prefix='orogen-')}"
+        else:
+            where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/orogen-staging"
         spark.conf.set(CHECKPOINT_DIR, where)
     return where.rstrip("/")
 
@@ -33,7 +38,53 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder through Spark's own file systems, wherever it is."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for t in tables:
+        if t is not None and getattr(t, "staged_at", None):
+            delete(t.sparkSession, t.staged_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for what is staged within, deleted at the end: for callers that write their result there."""
+    before = shared_dir(spark)
+    own = f"{before}/scratch-{uuid.uuid4().hex}"
+    spark.conf.set(CHECKPOINT_DIR, own)
+    try:
+        yield own
+    finally:
+        spark.conf.set(CHECKPOINT_DIR, before)
+        delete(spark, own)
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", least: int = 1000, most: int = 1000) -> DataFrame:
+    """``big`` joined with ``small``, whose ``key`` is unique, whatever share of the rows a key holds.
+
+    The ``most`` keys with the most rows of ``big``, of those with more than ``least``, have their rows of ``small`` sent
+    to all tasks; any other key holds less than one row in ``most`` and is merged. ``big`` is read once more, so it
+    should be a staged table."""
+    counts = big.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > least)
+    hot = [r[0] for r in counts.orderBy(F.desc("count")).limit(most).collect()]
+    if not hot:
+        return big.join(small, key, how)
+    kind = big.schema[key].dataType.simpleString()
+    keys = F.broadcast(big.sparkSession.createDataFrame([(k,) for k in hot], f"__hot {kind}"))
+    pick = lambda t, way: t.join(keys, t[key] == keys["__hot"], way)
+    few = F.broadcast(pick(small, "left_semi"))
+    return pick(big, "left_semi").join(few, key, how).unionByName(pick(big, "left_anti").join(small, key, how))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,34 +92,37 @@ def components(edges: DataFrame) -> DataFrame:
     component being the smallest node that can be reached.
 
     Random contraction: each round maps a node to the neighbour (or itself) that
-    comes first in a hash order drawn anew, and joins the edges to that map. The
-    nodes left shrink by a constant factor a round, chains and stars alike, so
-    rounds grow with the logarithm of the longest path. All state is in tables."""
+    comes first in a hash order, and joins the edges to that map. The order is drawn anew every other round: the first
+    round of an order brings a star's hub to its first node, the second brings all others there, and a new draw
+    breaks up chains. Rounds grow with the logarithm of the longest path. All state is in tables, deleted when the next are written."""
     e = staged(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
     round_no = 0
     while e.take(1):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.struct(F.xxhash64(F.lit(round_no), F.col(c)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        order = lambda c: F.struct(F.xxhash64(F.lit(round_no // 2), F.col(c)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         to = staged(
             both.groupBy(F.col("a").alias("node"))
             .agg(F.min(order("b")).alias("m"))
             .select("node", F.least(F.col("m"), order("node"))["n"].alias("to")),
             "contract",
         )
+        before = labels
         if labels is None:
-            labels = to.select("node", F.col("to").alias("label"))
+            labels = staged(to.select("node", F.col("to").alias("label")), "labels")
         else:
             by = to.select(F.col("node").alias("label"), "to")
-            labels = staged(labels.join(by, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            labels = staged(join_hot(labels, by, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         ta, tb = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        moved = e.join(ta, "a").join(tb, "b").where("x <> y")
-        e = staged(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        moved = join_hot(e, ta, "a").join(tb, "b").where("x <> y")
+        after = staged(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(e, to, before)
+        e = after
         round_no += 1
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
-    return labels.join(least, "label").select("node", "component")
+    return join_hot(labels, least, "label").select("node", "component")
 
 
 def passing_columns(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEQ_BITS = 20  # blocks in a partition
-POS_BITS = 12  # rows in a block
-BLOCK_ROWS = 1 << POS_BITS
+POS_BITS = 16  # rows in a block
 
 
 def finite(vec: Column, dim: int) -> Column:
@@ -21,10 +20,10 @@ def finite(vec: Column, dim: int) -> Column:
     return F.coalesce(vec.isNotNull() & (F.size(vec) == dim) & ~bad, F.lit(False))
 
 
-def dimension(df: DataFrame, vec_col: str) -> int:
-    """The most frequent number of components (the smaller at a tie); 0 if there is no vector."""
+def dimension(df: DataFrame, vec_col: str) -> tuple[int, int]:
+    """The most frequent number of components (the smaller at a tie; 0 if there is no vector), and the vectors of that size."""
     got = df.where(F.col(vec_col).isNotNull()).groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return got[0]["d"] if got else 0
+    return (got[0]["d"], got[0]["count"]) if got else (0, 0)
 
 
 def sample_matrix(df: DataFrame, vec_col: str, rows: int, dim: int) -> np.ndarray:
@@ -37,48 +36,35 @@ def matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(col.flatten(), float).reshape(len(col), dim)
 
 
-def pack_blocks(ordered: DataFrame, dim: int, of: list[str], dtype: str, box: Callable | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per run of up to ``rows`` rows with equal ``of`` in each partition's order.
+def pack_blocks(ordered: DataFrame, dim: int, dtype: str, box: Callable, rows: int) -> DataFrame:
+    """One row per run of up to ``rows`` rows in each partition's order.
 
-    ``ordered``: (vec_id, vec, *of), partitioned and sorted. Gives (block, n, ids, vecs,
-    *of, lo, hi): ids and vecs as raw bytes, lo and hi what ``box`` says of the block.
-    A row's number is ``block << POS_BITS | position``; a null id is kept as a flag in ``has``."""
-    types = {f.name: f.dataType.simpleString() for f in ordered.schema}
-    schema = "block long, n int, ids binary, has binary, vecs binary, lo array<double>, hi array<double>" + "".join(f", {c} {types[c]}" for c in of)
+    ``ordered``: (vec_id, vec), vec as raw bytes of ``dtype``, partitioned and sorted. Gives (block, n, ids, has, vecs,
+    lo, hi): ids and vecs as raw bytes, lo and hi what ``box`` says of the block.
+    A row's number is ``block << POS_BITS | position``; ``has`` is 0 where an id is null."""
+    schema = "block long, n int, ids binary, has binary, vecs binary, lo array<double>, hi array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << SEQ_BITS
-        seq, key, kinds, held, count = 0, None, [], [], 0
+        first, seq, held, count = TaskContext.get().partitionId() << SEQ_BITS, 0, [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, held, count
-            ids, has, m = (np.concatenate([h[i] for h in held]) for i in range(3))
-            lo, hi = box(m) if box else ([], [])
-            cols = [pa.array([first + seq], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([has.tobytes()], pa.binary()), pa.array([m.astype(dtype).tobytes()], pa.binary()), pa.array([lo], pa.list_(pa.float64())), pa.array([hi], pa.list_(pa.float64()))]
-            cols += [pa.array([v], kind) for v, kind in zip(key, kinds, strict=True)]
+            ids, has = (np.concatenate([h[i] for h in held]) for i in range(2))
+            raw = b"".join([x for h in held for x in h[2]])
+            lo, hi = box(np.frombuffer(raw, dtype).reshape(-1, dim))
+            cols = [pa.array([first + seq], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([has.tobytes()], pa.binary()), pa.array([raw], pa.binary()), pa.array([lo], pa.list_(pa.float64())), pa.array([hi], pa.list_(pa.float64()))]
             seq, held, count = seq + 1, [], 0
-            return pa.RecordBatch.from_arrays(cols, names=["block", "n", "ids", "has", "vecs", "lo", "hi", *of])
+            return pa.RecordBatch.from_arrays(cols, names=["block", "n", "ids", "has", "vecs", "lo", "hi"])
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            m, ids = matrix(b.column(1), dim), b.column(0)
-            has = np.asarray(ids.is_valid()).astype(np.uint8)
-            ids = np.asarray(ids.fill_null(0), np.int64)
-            keys = list(zip(*[b.column(2 + i).to_pylist() for i in range(len(of))], strict=True)) if of else [()] * b.num_rows
-            kinds = [b.column(2 + i).type for i in range(len(of))]
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if held and key != keys[s]:
+            has = np.asarray(b.column(0).is_valid()).astype(np.uint8)
+            ids, vecs, s = np.asarray(b.column(0).fill_null(0), np.int64), b.column(1).to_pylist(), 0
+            while s < b.num_rows:
+                t = min(b.num_rows, s + rows - count)
+                held.append((ids[s:t], has[s:t], vecs[s:t]))
+                count, s = count + t - s, t
+                if count == rows:
                     yield flush()
-                key = keys[s]
-                while s < e:
-                    t = min(e, s + rows - count)
-                    held.append((ids[s:t], has[s:t], m[s:t]))
-                    count += t - s
-                    s = t
-                    if count == rows:
-                        yield flush()
         if held:
             yield flush()
 
