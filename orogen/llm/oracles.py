@@ -24,7 +24,7 @@ _LIST = "string_agg(kind || ':' || start || ':' || \"end\", ',' order by start,
 OP5_SQL = f"""with base as (select * from ({_spans(0)}) union all select * from ({_spans(1)}) union all select * from ({_spans(2)})),
     extra as (select * from ({_spans(3)}) e where regexp_matches(value, '[0-9]') and not exists (select 1 from base b where b.doc_id = e.doc_id and b.start < e."end" and e.start < b."end")),
     found as (select * from base union all select * from extra),
-    own as (select k, value, count(distinct source) < 3 as live from found group by all),
+    own as (select k, value, count(distinct source) < 3 and count(distinct doc_id) < 30 as live from found group by all),
     judged as (select * from found join own using (k, value) where k < 3 or live),
     each as (select doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
         coalesce({_LIST} filter (k < 3), '') as base, {_LIST} as spans, count(*) filter (live) as n_live, count(*) filter (not live) as n_example from judged group by doc_id)
