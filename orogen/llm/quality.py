@@ -1,220 +1,289 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Text is read as symbols of a small fixed alphabet: letters, classes of characters,
-and one symbol for a word that repeats the word before it. All n-grams of all trusted texts are
-counted; counts live in shards by n-gram, and joins of n-grams with their contexts
-give the discounted weights. There are at most ``SYMBOLS ** ORDER`` n-grams, so
-the finished model has a proven bound and goes to every task.
+Text is read as code points, with one symbol for a word that repeats the word before
+it. Documents are packed into batches once, and batches are what travels. Each batch lists its
+distinct n-grams, with how often trusted texts hold them; these are summed into count
+tables, which are sharded by n-gram and grow with the corpus. Joins of n-grams with
+their contexts give the discounted weights, joins of the weights with the corpus's distinct n-grams give
+the probabilities, and those go back to the batches that asked for them, where each document is
+scored in one pass. Thresholds are quantiles of each language over trusted documents that
+the model was not fitted on.
 """
 
 from __future__ import annotations
 
 import math
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orogen.llm.common import passing_columns, staged, table
 
-SYMBOLS, ORDER = 48, 4
-AGAIN, EDGE = 46, 47
-SIZE = SYMBOLS**ORDER
-
-
-@lru_cache(maxsize=1)
-def _alphabet() -> np.ndarray:
-    """Symbol of each code point of the basic plane; the last entry stands for all others."""
-    out = np.full(0x10000, 45, np.uint8)
-    plain = {" ": 34, "\n": 35, ".": 36, ",": 37}
-    for o in range(0x10000):
-        c = chr(o)
-        kind = unicodedata.category(c)
-        if c in plain:
-            out[o] = plain[c]
-        elif "a" <= c <= "z":
-            out[o] = o - 97
-        elif kind in ("Lu", "Lt"):
-            out[o] = 38
-        elif kind in ("Ll", "Lm", "Mn", "Mc"):
-            out[o] = 26 + o % 8
-        elif kind == "Lo":
-            out[o] = 43 + o % 2
-        elif kind[0] == "N":
-            out[o] = 39
-        elif c in "'\"-()’“”«»":
-            out[o] = 40
-        elif kind[0] == "P":
-            out[o] = 41
-        elif kind[0] == "S":
-            out[o] = 42
-    out[26] = AGAIN
-    return out
+ORDER = 4
+EDGE, AGAIN, POINTS = 0x110000, 0x110001, 0x110002
+POINT_BITS = 21
+BATCH_CHARS, CHUNK = 16 << 20, 1 << 21
+SEQ_BITS = 24
+QUANTILE, MARGIN = 0.95, 1.45
 
 
 def symbols(text: str) -> np.ndarray:
     """The whole text with edges; a word equal to the word before becomes one symbol with the space between."""
     words = text.replace("\x1a", " ").split(" ")
     text = "".join([" " + b if a != b else "\x1a" for a, b in zip([None, *words], words)])[1:]  # noqa: B905
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    body = _alphabet()[np.minimum(points, 0xFFFF)]
-    return np.concatenate([np.full(ORDER - 1, EDGE, np.uint8), body, np.full(1, EDGE, np.uint8)])
-
-
-def grams(s: np.ndarray) -> np.ndarray:
-    """The number of the n-gram that ends at each symbol after the first edge."""
-    n = len(s) - ORDER + 1
-    out = np.zeros(n, np.int32)
-    for j in range(ORDER):
-        out = out * SYMBOLS + s[j : j + n]
-    return out
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SIZE, np.int64)
-    held, n = [], 0
+    body = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    body = np.where(body == 0x1A, AGAIN, body).astype(np.uint32)
+    return np.concatenate([np.full(ORDER - 1, EDGE, np.uint32), body, np.full(1, EDGE, np.uint32)])
+
+
+class Batch:
+    """Symbols of some texts, with an alphabet of their own so that an n-gram fits 64 bits."""
+
+    def __init__(self, texts: list[str]):
+        each = [symbols(t) for t in texts]
+        self.sizes = np.array([len(s) for s in each], np.int64)
+        codes = np.concatenate(each) if each else np.empty(0, np.uint32)
+        self.alphabet = np.nonzero(np.bincount(codes, minlength=POINTS))[0]
+        self.place = np.zeros(POINTS, np.uint16)
+        self.place[self.alphabet] = np.arange(len(self.alphabet))
+        self.codes = self.place[codes]
+        self.doc = np.repeat(np.arange(len(each), dtype=np.int32), self.sizes)
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(n-gram, text that it is of), some at a time."""
+        n = len(self.codes) - ORDER + 1
+        for at in range(0, n, CHUNK):
+            end = min(n, at + CHUNK)
+            key = np.zeros(end - at, np.uint64)
+            for j in range(ORDER):
+                key = (key << np.uint64(16)) | self.codes[at + j : end + j]
+            inside = self.doc[at:end] == self.doc[at + ORDER - 1 : end + ORDER - 1]
+            yield key[inside], self.doc[at:end][inside]
+
+    def spelled(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(context, last symbol) of n-grams as code points."""
+        at = [self.alphabet[((key >> np.uint64(16 * (ORDER - 1 - j))) & np.uint64(0xFFFF)).astype(np.int64)] for j in range(ORDER)]
+        context = np.zeros(len(key), np.int64)
+        for p in at[:-1]:
+            context = (context << POINT_BITS) | p
+        return context, at[-1].astype(np.int32)
+
+    def keys(self, context: np.ndarray, last: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(context), np.uint64)
+        for j in range(ORDER - 2, -1, -1):
+            key = (key << np.uint64(16)) | self.place[(context >> (POINT_BITS * j)) & ((1 << POINT_BITS) - 1)]
+        return (key << np.uint64(16)) | self.place[last]
+
+
+def split_batch(texts: list[str]) -> Iterator[tuple[int, Batch]]:
+    """The texts as one batch, or as several where their alphabet is too large; each with the place of its first text."""
+    todo = [(0, texts)]
+    while todo:
+        at, some = todo.pop()
+        b = Batch(some)
+        if len(b.alphabet) > 0xFFFF and len(some) > 1:
+            half = len(some) // 2
+            todo += [(at + half, some[half:]), (at, some[:half])]
+            continue
+        yield at, b
+
+
+def _stream(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(data: bytes) -> pa.Table:
+    with pa.ipc.open_stream(data) as r:
+        return r.read_all().combine_chunks()
+
+
+def packed(docs: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+    """(batch, ids, texts, rest): documents in batches of about ``BATCH_CHARS``; ids in order, the columns ``names`` (id, language, text)
+    and all others as compressed streams."""
+    id_col, lang_col, text_col = names
+    mine = [F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text")]
+    others = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, seq, held, size = TaskContext.get().partitionId() << SEQ_BITS, 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal seq, held, size
+            t = pa.Table.from_batches(held)
+            ids = t.column(0).combine_chunks()
+            ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+            cols = [pa.array([first + seq], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([_stream(t.select([0, 1, 2]))], pa.binary()), pa.array([_stream(t.select(list(range(3, t.num_columns))))], pa.binary())]
+            seq, held, size = seq + 1, [], 0
+            return pa.RecordBatch.from_arrays(cols, names=["batch", "ids", "texts", "rest"])
+
+        for b in batches:
+            lengths = np.diff(np.concatenate([[0], np.cumsum([len(t.as_py() or "") + 1 for t in b.column(2)])]))
+            at = 0
+            while at < b.num_rows:
+                room = np.cumsum(lengths[at:]) <= BATCH_CHARS - size
+                n = int(room.sum()) or (0 if held else 1)
+                if n:
+                    held.append(b.slice(at, n))
+                    size += int(lengths[at : at + n].sum())
+                    at += n
+                if at < b.num_rows:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return docs.select(*mine, *others).mapInArrow(run, "batch long, ids array<long>, texts binary, rest binary")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(batch, part, context, last, c): the distinct n-grams of each batch, and how often the texts at ``fit`` hold them."""
     for b in batches:
-        for t in b.column(0):
-            held.append(grams(symbols(t.as_py())))
-            n += len(held[-1])
-            if n > 4_000_000:
-                total += np.bincount(np.concatenate(held), minlength=SIZE)
-                held, n = [], 0
-    if held:
-        total += np.bincount(np.concatenate(held), minlength=SIZE)
-    has = np.nonzero(total)[0]
-    for at in range(0, len(has), 100_000):
-        some = has[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "c"])
-
-
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, c) over all of ``texts`` (text, not null)."""
-    return texts.select("text").mapInArrow(_count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
-def fit(counts: DataFrame) -> tuple[np.ndarray, ...]:
-    """(order, gram, alpha), (order, context, gamma) of the model from 4-gram counts.
+        for x in range(b.num_rows):
+            texts = [t or "" for t in _table(b.column(1)[x].as_py()).column(2).to_pylist()]
+            learn = np.zeros(len(texts), bool)
+            learn[np.array(b.column(2)[x].as_py() or [], np.int64)] = True
+            for at, some in split_batch(texts):
+                keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+                empty = some.sizes <= ORDER
+                for key, doc in some.grams():
+                    key, doc = key[~empty[doc]], doc[~empty[doc]]
+                    got, back = np.unique(key, return_inverse=True)
+                    c = np.bincount(back, weights=learn[at + doc], minlength=len(got)).astype(np.int64)
+                    keys, back = np.unique(np.concatenate([keys, got]), return_inverse=True)
+                    counts = np.bincount(back, weights=np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
+                context, last = some.spelled(keys)
+                order = np.lexsort((last, context))
+                for s in range(0, len(keys), 100_000):
+                    o = order[s : s + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), b.column(0)[x].as_py())), pa.array(np.full(len(o), at, np.int32)), pa.array(context[o]), pa.array(last[o]), pa.array(counts[o])], names=["batch", "part", "context", "last", "c"])
+
+
+def fit(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """For each order (context, last, alpha) and (context, gamma) of the model, from (context, last, c) of the highest; and the number of symbols.
 
     Lower orders count the different symbols seen before an n-gram. Each order has its own
-    three discounts from its counts of counts."""
-    level = counts.withColumn("n", F.lit(ORDER))
-    levels = level
+    three discounts from its counts of counts. All tables are sharded by n-gram or context."""
+    level = counts.select("context", "last", "c")
+    levels = level.withColumn("n", F.lit(ORDER))
     for n in range(ORDER - 1, 0, -1):
-        level = level.groupBy((F.col("gram") % SYMBOLS**n).alias("gram")).agg(F.count(F.lit(1)).alias("c")).withColumn("n", F.lit(n))
-        levels = levels.unionByName(level)
-    levels = staged(levels.withColumn("context", F.floor(F.col("gram") / SYMBOLS)), "ngrams")
+        tail = F.col("context").bitwiseAND((1 << (POINT_BITS * (n - 1))) - 1)
+        level = level.groupBy(tail.alias("context"), "last").agg(F.count(F.lit(1)).alias("c"))
+        levels = levels.unionByName(level.withColumn("n", F.lit(n)))
+    levels = staged(levels, "ngrams")
     seen = {(r["n"], r["c"]): r["k"] for r in levels.where("c <= 4").groupBy("n", "c").agg(F.count(F.lit(1)).alias("k")).collect()}
-    d = {}
+    alphas, gammas = [], []
     for n in range(1, ORDER + 1):
         k = [seen.get((n, i), 0) for i in (1, 2, 3, 4)]
         y = k[0] / (k[0] + 2 * k[1]) if k[0] else 0.5
-        d[n] = [min(float(i), max(0.0, i - (i + 1) * y * k[i] / k[i - 1])) if k[i - 1] else 0.0 for i in (1, 2, 3)]
-    off = F.element_at(F.array(*[F.array(*map(F.lit, d[n])) for n in range(1, ORDER + 1)]), F.col("n"))
-    off = F.element_at(off, F.least(F.col("c"), F.lit(3)).cast("int"))
-    levels = levels.withColumn("off", off)
-    contexts = levels.groupBy("n", "context").agg(F.sum("c").alias("all"), F.sum("off").alias("left"))
-    weights = levels.join(contexts, ["n", "context"])
-    alpha = weights.select("n", "gram", ((F.col("c") - F.col("off")) / F.col("all")).alias("w")).toPandas()  # at most SYMBOLS ** ORDER and lower orders
-    gamma = contexts.select("n", "context", (F.col("left") / F.col("all")).alias("w")).toPandas()
-    return tuple(x[c].to_numpy() for x in (alpha, gamma) for c in x.columns)
-
-
-def interpolate(model: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Natural log of the probability of each n-gram's last symbol after its others, as single precision."""
-    n, gram, w, m, context, left = model
-    p = np.full(1, 1.0 / SYMBOLS, np.float32)
-    for order in range(1, ORDER + 1):
-        alpha = np.zeros(SYMBOLS**order, np.float32)
-        alpha[gram[n == order].astype(np.int64)] = w[n == order]
-        gamma = np.ones(SYMBOLS ** (order - 1), np.float32)
-        gamma[context[m == order].astype(np.int64)] = left[m == order]
-        low = p if order == 1 else np.tile(p.reshape(-1, SYMBOLS), (len(gamma) * SYMBOLS // len(p), 1))
-        p = (alpha.reshape(-1, SYMBOLS) + gamma[:, None] * low).reshape(-1)
-    return np.log(np.maximum(p, np.float32(1e-12)))
-
-
-_ready: dict[str, np.ndarray] = {}
-
-
-def _scored(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa.RecordBatch]:
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = interpolate(shared.value)
-    logs = _ready[key]
+        d = [min(float(i), max(0.0, i - (i + 1) * y * k[i] / k[i - 1])) if k[i - 1] else 0.0 for i in (1, 2, 3)]
+        one = levels.where(F.col("n") == n).drop("n").withColumn("off", F.element_at(F.array(*map(F.lit, d)), F.least(F.col("c"), F.lit(3)).cast("int")))
+        by = staged(one.groupBy("context").agg(F.sum("c").alias("all"), F.sum("off").alias("left")), f"contexts{n}")
+        alphas.append(one.join(by, "context").select("context", "last", ((F.col("c") - F.col("off")) / F.col("all")).alias("alpha")))
+        gammas.append(by.select("context", (F.col("left") / F.col("all")).alias("gamma")))
+    return alphas, gammas, levels.where("n = 1").count() + 1  # one more for all that was never seen
+
+
+def probabilities(asked: DataFrame, model: tuple[list[DataFrame], list[DataFrame], int]) -> DataFrame:
+    """(context, last, logp) of n-grams (context, last): each order's weight, and what its context leaves to the order below.
+
+    Tables of one symbol have 1,114,114 rows at most and go to all tasks; the others are merged by n-gram."""
+    alphas, gammas, size = model
+    q = asked.withColumn("p", F.lit(1.0 / size))
+    for n in range(1, ORDER + 1):
+        tail = F.col("context").bitwiseAND((1 << (POINT_BITS * (n - 1))) - 1)
+        a = staged(alphas[n - 1], f"alpha{n}").select(F.col("context").alias("__c"), F.col("last").alias("__l"), "alpha")
+        g = gammas[n - 1].select(F.col("context").alias("__g"), "gamma")
+        q = q.withColumn("__tail", tail)
+        q = q.join(F.broadcast(a) if n == 1 else a, (q["__tail"] == a["__c"]) & (q["last"] == a["__l"]), "left")
+        q = q.join(F.broadcast(g) if n <= 2 else g, q["__tail"] == g["__g"], "left")
+        q = q.select("context", "last", (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p"))
+    return q.select("context", "last", F.log("p").alias("logp"))
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(batch, at, id, lang, ppl) of each document, null for an empty text; from (batch, texts, known)."""
     for b in batches:
-        out = []
-        for t in b.column(b.num_columns - 1):
-            t = t.as_py()
-            out.append(math.exp(-float(logs[grams(symbols(t))].mean(dtype=np.float64))) if t else None)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], names=[*b.schema.names[:-1], "__ppl"])
-
-
-class Model:
-    """A fitted model with its thresholds; ``score`` adds a perplexity, ``judge`` the verdict."""
-
-    def __init__(self, shared, key: str, thresholds: DataFrame | None, overall: float | None):
-        self.shared, self.key, self.thresholds, self.overall = shared, key, thresholds, overall
-
-    def score(self, docs: DataFrame, text_col: str) -> DataFrame:
-        """``docs`` with ``__ppl``; null for a null or empty text, or if nothing was trusted."""
-        if self.shared is None:
-            return docs.withColumn("__ppl", F.lit(None).cast("double"))
-        given = docs.withColumn("__text", F.col(text_col).cast("string"))
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        shared, key = self.shared, self.key
-        return given.mapInArrow(lambda it: _scored(it, shared, key), f"{kinds}, __ppl double")
-
-    def judge(self, scored: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-        """Adds ``__most`` and ``__keep``: a text that isn't empty, no more perplexing than its language's threshold."""
-        if self.shared is None:
-            return scored.withColumn("__most", F.lit(None).cast("double")).withColumn("__keep", F.length(F.col(text_col)) > 0)
-        t = self.thresholds
-        out = scored.join(t, F.col(lang_col).cast("string").eqNullSafe(t["__lang"]), "left").drop("__lang")
-        out = out.withColumn("__most", F.coalesce("__most", F.lit(self.overall)))
-        return out.withColumn("__keep", F.coalesce(F.col("__ppl") <= F.col("__most"), F.lit(False)))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float) -> Model:
-    spark = docs.sparkSession
-    trusted = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("q")).where("q = 1").select("__id")
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+        for x in range(b.num_rows):
+            t = _table(b.column(1)[x].as_py())
+            texts = [s or "" for s in t.column(2).to_pylist()]
+            known = b.column(2)[x].values
+            part, context, last, logp = (np.asarray(known.field(i)) for i in range(4)) if known is not None else (np.empty(0, np.int64),) * 4
+            sums, counts = np.zeros(len(texts)), np.zeros(len(texts))
+            for at, some in split_batch(texts):
+                mine = part == at
+                keys = some.keys(context[mine], last[mine])
+                order = np.argsort(keys)
+                keys, logs = keys[order], logp[mine][order]
+                empty = some.sizes <= ORDER
+                for key, doc in some.grams():
+                    key, doc = key[~empty[doc]], doc[~empty[doc]]
+                    v = logs[np.searchsorted(keys, key)]
+                    sums[at : at + len(some.sizes)] += np.bincount(doc, weights=v, minlength=len(some.sizes))
+                    counts[at : at + len(some.sizes)] += np.bincount(doc, minlength=len(some.sizes))
+            ppl = [math.exp(-s / c) if c else None for s, c in zip(sums.tolist(), counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), b.column(0)[x].as_py())), pa.array(np.arange(len(texts), dtype=np.int32)), t.column(0).combine_chunks(), t.column(1).combine_chunks(), pa.array(ppl, pa.float64())], names=["batch", "at", "id", "lang", "ppl"])
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float, held: int) -> tuple[DataFrame, DataFrame]:
+    """The packed documents, and (batch, at, id, lang, ppl, most, keep) for each."""
+    batches = staged(packed(docs, (id_col, lang_col, text_col)), "batches")
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("q")).where("q = 1").select("id")
+    ids = batches.select("batch", F.posexplode("ids").alias("at", "id")).where("id is not null")
     # labels grow with the corpus, so they are merged at every size and never sent to all tasks
-    texts = rows.where(F.length("text") > 0).join(trusted.hint("merge"), "__id", "left_semi")
-    counts = staged(ngram_counts(texts), "counts")
-    if not counts.take(1):
-        return Model(None, "", None, None)
-    weights = fit(counts)
-    shared = spark.sparkContext.broadcast(weights)
-    model = Model(shared, f"{id(shared)}-{float(weights[2].sum())!r}", None, None)
-    ppl = model.score(rows.where(F.length("text") > 0), "text").select("__id", "lang", "__ppl")
-    ppl = staged(ppl, "perplexity").join(trusted, "__id", "left_semi")
-    q = F.percentile_approx("__ppl", F.lit(quantile), F.lit(10_000)) * margin
-    model.overall = ppl.agg(q.alias("q")).collect()[0]["q"]
-    by = ppl.groupBy(F.col("lang").alias("__lang")).agg(q.alias("__most"))
-    model.thresholds = staged(by, "thresholds")
-    return model
+    trusted = staged(ids.join(good.hint("merge"), "id").select("batch", "at", (F.pmod(F.xxhash64("id"), F.lit(held)) == 0).alias("held")), "trusted")
+    learn = trusted.where("not held").groupBy("batch").agg(F.collect_list("at").alias("fit"))  # a batch has a bound on its documents
+    grams = staged(batches.select("batch", "texts").join(staged(learn, "fit"), "batch", "left").select("batch", "texts", "fit").mapInArrow(_counted, "batch long, part int, context long, last int, c long"), "grams")
+    counts = staged(grams.groupBy("context", "last").agg(F.sum("c").alias("c")), "counts")
+    learned = counts.where("c > 0")
+    if not learned.take(1):
+        scores = batches.select("batch", F.posexplode("ids").alias("at", "id"))
+        return batches, scores.select("batch", "at", "id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("ppl"), F.lit(None).cast("double").alias("most"), F.lit(None).cast("boolean").alias("keep"))
+    logs = staged(probabilities(counts.select("context", "last"), fit(learned)), "probabilities")
+    known = grams.drop("c").join(logs, ["context", "last"]).groupBy("batch").agg(F.collect_list(F.struct("part", "context", "last", "logp")).alias("known"))
+    scores = staged(batches.select("batch", "texts").join(known, "batch", "left").select("batch", "texts", "known").mapInArrow(_scored, "batch long, at int, id long, lang string, ppl double"), "scores")
+    q = lambda held: F.percentile_approx(F.when(held, F.col("ppl")), F.lit(quantile), F.lit(10_000)) * margin
+    own = F.coalesce(q(F.col("held")), q(F.lit(True)))
+    with_trust = scores.join(trusted, ["batch", "at"])
+    overall = with_trust.agg(own.alias("most")).first()["most"]
+    by = staged(with_trust.groupBy(F.col("lang").alias("__lang")).agg(own.alias("most")), "thresholds")
+    out = scores.join(by, scores["lang"].eqNullSafe(by["__lang"]), "left").drop("__lang").withColumn("most", F.coalesce("most", F.lit(overall)))
+    return batches, out.withColumn("keep", F.coalesce(F.col("ppl") <= F.col("most"), F.lit(False)))
 
 
 @passing_columns
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, margin: float = 1.35) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, held: int = 5) -> DataFrame:
     """``docs`` with ``__ppl``, ``__most`` and ``__keep``.
 
     Trusted: documents that ``labels`` (doc_id, quality) names with quality 1 and never with
-    another or null one. A document is kept if its perplexity is at most ``margin`` times its language's
-    ``quantile`` over trusted documents, however few they are; a null language is one of its own, and
+    another or null one. One in ``held`` of them, by a hash of the id, is kept out of the model. A document is kept if its perplexity is at most
+    ``margin`` times its language's ``quantile`` over the trusted documents kept out, or over all of its trusted ones where none was; a null language is one of its own, and
     a language without any takes the quantile over all. Null and empty texts have a null perplexity and are not kept.
     With nothing trusted all other texts are kept. Repeated rows are judged alike, an
     empty table gives an empty one, and other columns pass through untouched."""
-    model = train(docs, labels, id_col, text_col, lang_col, quantile, margin)
-    return model.judge(model.score(docs, text_col), text_col, lang_col)
+    batches, scores = judged(docs, labels, id_col, text_col, lang_col, quantile, margin, held)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __ppl double, __most double, __keep boolean"
+    names = [*docs.columns, "__ppl", "__most", "__keep"]
+
+    def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for x in range(b.num_rows):
+                rows = _table(b.column(0)[x].as_py())
+                got = sorted(b.column(1)[x].as_py(), key=lambda r: r["at"])
+                cols = [c.combine_chunks() for c in rows.columns] + [pa.array([r[k] for r in got], t) for k, t in (("ppl", pa.float64()), ("most", pa.float64()), ("keep", pa.bool_()))]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    verdicts = scores.groupBy("batch").agg(F.collect_list(F.struct("at", "ppl", "most", "keep")).alias("rows"))
+    out = batches.select("batch", "rest").join(staged(verdicts, "verdicts"), "batch").select("rest", "rows").mapInArrow(unpack, schema)
+    return out.withColumn("__keep", F.coalesce("__keep", F.coalesce(F.length(F.col(text_col).cast("string")) > 0, F.lit(False))))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    got = classify(docs, table(spark, sf_dir, "labels"))
-    return got.select("doc_id", "lang", F.round("__ppl", 6).alias("perplexity"), F.round("__most", 6).alias("threshold"), F.col("__keep").alias("keep"))
+    _, scores = judged(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "lang", QUANTILE, MARGIN, 5)
+    return scores.select(F.col("id").alias("doc_id"), "lang", F.round("ppl", 6).alias("perplexity"), F.round("most", 6).alias("threshold"), "keep")
