@@ -21,12 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm.common import passing_columns, staged, table
+from orogen.llm.common import discard, passing_columns, staged, table
 
 ORDER = 4
 EDGE, AGAIN, POINTS = 0x110000, 0x110001, 0x110002
 POINT_BITS = 21
-BATCH_CHARS, CHUNK = 16 << 20, 1 << 21
+BATCH_CHARS, CHUNK = 32 << 20, 1 << 20
+FRACTION = 2.0**26  # logs travel as whole numbers of this fraction
 SEQ_BITS = 24
 QUANTILE, MARGIN = 0.95, 1.45
 
@@ -41,28 +42,36 @@ def symbols(text: str) -> np.ndarray:
 
 
 class Batch:
-    """Symbols of some texts, with an alphabet of their own so that an n-gram fits 64 bits."""
+    """Symbols of some texts, with an alphabet of their own so that an n-gram fits 64 bits; ``full`` if they have too many symbols for that."""
 
     def __init__(self, texts: list[str]):
-        each = [symbols(t) for t in texts]
-        self.sizes = np.array([len(s) for s in each], np.int64)
-        codes = np.concatenate(each) if each else np.empty(0, np.uint32)
-        self.alphabet = np.nonzero(np.bincount(codes, minlength=POINTS))[0]
         self.place = np.zeros(POINTS, np.uint16)
-        self.place[self.alphabet] = np.arange(len(self.alphabet))
-        self.codes = self.place[codes]
-        self.doc = np.repeat(np.arange(len(each), dtype=np.int32), self.sizes)
+        self.alphabet = np.full(1, 0, np.int64)
+        each, self.full = [], False
+        for t in texts:
+            s = symbols(t)
+            new = np.unique(s[self.place[s] == 0])
+            self.full = len(self.alphabet) + len(new) > 0xFFFF
+            if self.full:
+                break
+            self.place[new] = np.arange(len(self.alphabet), len(self.alphabet) + len(new))
+            self.alphabet = np.concatenate([self.alphabet, new])
+            each.append(self.place[s])
+        self.sizes = np.array([len(s) for s in each], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.codes = np.concatenate(each) if each else np.empty(0, np.uint16)
 
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(n-gram, text that it is of), some at a time."""
+        """(n-gram, text that it is of) of texts that aren't empty, some at a time."""
         n = len(self.codes) - ORDER + 1
         for at in range(0, n, CHUNK):
             end = min(n, at + CHUNK)
             key = np.zeros(end - at, np.uint64)
             for j in range(ORDER):
                 key = (key << np.uint64(16)) | self.codes[at + j : end + j]
-            inside = self.doc[at:end] == self.doc[at + ORDER - 1 : end + ORDER - 1]
-            yield key[inside], self.doc[at:end][inside]
+            doc = np.searchsorted(self.ends, np.arange(at, end + ORDER - 1), "right")
+            inside = (doc[: end - at] == doc[ORDER - 1 :]) & (self.sizes[doc[: end - at]] > ORDER)
+            yield key[inside], doc[: end - at][inside]
 
     def spelled(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(context, last symbol) of n-grams as code points."""
@@ -85,7 +94,7 @@ def split_batch(texts: list[str]) -> Iterator[tuple[int, Batch]]:
     while todo:
         at, some = todo.pop()
         b = Batch(some)
-        if len(b.alphabet) > 0xFFFF and len(some) > 1:
+        if b.full and len(some) > 1:
             half = len(some) // 2
             todo += [(at + half, some[half:]), (at, some[:half])]
             continue
@@ -94,7 +103,7 @@ def split_batch(texts: list[str]) -> Iterator[tuple[int, Batch]]:
 
 def _stream(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
         w.write_table(t)
     return sink.getvalue().to_pybytes()
 
@@ -150,9 +159,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             learn[np.array(b.column(2)[x].as_py() or [], np.int64)] = True
             for at, some in split_batch(texts):
                 keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-                empty = some.sizes <= ORDER
                 for key, doc in some.grams():
-                    key, doc = key[~empty[doc]], doc[~empty[doc]]
                     got, back = np.unique(key, return_inverse=True)
                     c = np.bincount(back, weights=learn[at + doc], minlength=len(got)).astype(np.int64)
                     keys, back = np.unique(np.concatenate([keys, got]), return_inverse=True)
@@ -164,8 +171,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), b.column(0)[x].as_py())), pa.array(np.full(len(o), at, np.int32)), pa.array(context[o]), pa.array(last[o]), pa.array(counts[o])], names=["batch", "part", "context", "last", "c"])
 
 
-def fit(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], int]:
-    """For each order (context, last, alpha) and (context, gamma) of the model, from (context, last, c) of the highest; and the number of symbols.
+Fitted = tuple[list[DataFrame], list[DataFrame], int, list[DataFrame]]
+
+
+def fit(counts: DataFrame) -> Fitted:
+    """For each order (context, last, alpha) and (context, gamma) of the model, from (context, last, c) of the highest; the number of symbols; staged tables.
 
     Lower orders count the different symbols seen before an n-gram. Each order has its own
     three discounts from its counts of counts. All tables are sharded by n-gram or context."""
@@ -177,33 +187,35 @@ def fit(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], int]:
         levels = levels.unionByName(level.withColumn("n", F.lit(n)))
     levels = staged(levels, "ngrams")
     seen = {(r["n"], r["c"]): r["k"] for r in levels.where("c <= 4").groupBy("n", "c").agg(F.count(F.lit(1)).alias("k")).collect()}
-    alphas, gammas = [], []
+    alphas, gammas, used = [], [], [levels]
     for n in range(1, ORDER + 1):
         k = [seen.get((n, i), 0) for i in (1, 2, 3, 4)]
         y = k[0] / (k[0] + 2 * k[1]) if k[0] else 0.5
         d = [min(float(i), max(0.0, i - (i + 1) * y * k[i] / k[i - 1])) if k[i - 1] else 0.0 for i in (1, 2, 3)]
         one = levels.where(F.col("n") == n).drop("n").withColumn("off", F.element_at(F.array(*map(F.lit, d)), F.least(F.col("c"), F.lit(3)).cast("int")))
         by = staged(one.groupBy("context").agg(F.sum("c").alias("all"), F.sum("off").alias("left")), f"contexts{n}")
+        used.append(by)
         alphas.append(one.join(by, "context").select("context", "last", ((F.col("c") - F.col("off")) / F.col("all")).alias("alpha")))
         gammas.append(by.select("context", (F.col("left") / F.col("all")).alias("gamma")))
-    return alphas, gammas, levels.where("n = 1").count() + 1  # one more for all that was never seen
+    return alphas, gammas, levels.where("n = 1").count() + 1, used  # one more symbol for all that was never seen
 
 
-def probabilities(asked: DataFrame, model: tuple[list[DataFrame], list[DataFrame], int]) -> DataFrame:
-    """(context, last, logp) of n-grams (context, last): each order's weight, and what its context leaves to the order below.
+def probabilities(asked: DataFrame, model: Fitted) -> tuple[DataFrame, list[DataFrame]]:
+    """(context, last, logp) of n-grams (context, last): each order's weight, and what its context leaves to the order below; and the staged tables that this reads.
 
     Tables of one symbol have 1,114,114 rows at most and go to all tasks; the others are merged by n-gram."""
-    alphas, gammas, size = model
+    alphas, gammas, size, used = model
     q = asked.withColumn("p", F.lit(1.0 / size))
     for n in range(1, ORDER + 1):
         tail = F.col("context").bitwiseAND((1 << (POINT_BITS * (n - 1))) - 1)
-        a = staged(alphas[n - 1], f"alpha{n}").select(F.col("context").alias("__c"), F.col("last").alias("__l"), "alpha")
+        used.append(staged(alphas[n - 1], f"alpha{n}"))
+        a = used[-1].select(F.col("context").alias("__c"), F.col("last").alias("__l"), "alpha")
         g = gammas[n - 1].select(F.col("context").alias("__g"), "gamma")
         q = q.withColumn("__tail", tail)
         q = q.join(F.broadcast(a) if n == 1 else a, (q["__tail"] == a["__c"]) & (q["last"] == a["__l"]), "left")
         q = q.join(F.broadcast(g) if n <= 2 else g, q["__tail"] == g["__g"], "left")
         q = q.select("context", "last", (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p"))
-    return q.select("context", "last", F.log("p").alias("logp"))
+    return q.select("context", "last", F.log("p").alias("logp")), used
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,16 +225,15 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = _table(b.column(1)[x].as_py())
             texts = [s or "" for s in t.column(2).to_pylist()]
             known = b.column(2)[x].values
-            part, context, last, logp = (np.asarray(known.field(i)) for i in range(4)) if known is not None else (np.empty(0, np.int64),) * 4
+            context, rest = (np.asarray(known.field(i)) for i in range(2)) if known is not None else (np.empty(0, np.int64),) * 2
+            part, last, logp = rest >> 53, (rest >> 32) & ((1 << POINT_BITS) - 1), (rest & 0xFFFFFFFF) / -FRACTION
             sums, counts = np.zeros(len(texts)), np.zeros(len(texts))
             for at, some in split_batch(texts):
                 mine = part == at
                 keys = some.keys(context[mine], last[mine])
                 order = np.argsort(keys)
                 keys, logs = keys[order], logp[mine][order]
-                empty = some.sizes <= ORDER
                 for key, doc in some.grams():
-                    key, doc = key[~empty[doc]], doc[~empty[doc]]
                     v = logs[np.searchsorted(keys, key)]
                     sums[at : at + len(some.sizes)] += np.bincount(doc, weights=v, minlength=len(some.sizes))
                     counts[at : at + len(some.sizes)] += np.bincount(doc, minlength=len(some.sizes))
@@ -244,9 +255,14 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_
     if not learned.take(1):
         scores = batches.select("batch", F.posexplode("ids").alias("at", "id"))
         return batches, scores.select("batch", "at", "id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("ppl"), F.lit(None).cast("double").alias("most"), F.lit(None).cast("boolean").alias("keep"))
-    logs = staged(probabilities(counts.select("context", "last"), fit(learned)), "probabilities")
-    known = grams.drop("c").join(logs, ["context", "last"]).groupBy("batch").agg(F.collect_list(F.struct("part", "context", "last", "logp")).alias("known"))
+    model = fit(learned)
+    asked, used = probabilities(counts.select("context", "last"), model)
+    logs = staged(asked, "probabilities")
+    discard(counts, *used)
+    rest = F.shiftleft(F.col("part").cast("long"), 53).bitwiseOR(F.shiftleft(F.col("last").cast("long"), 32)).bitwiseOR(F.round(F.greatest(-F.col("logp"), F.lit(0.0)) * FRACTION).cast("long"))
+    known = grams.drop("c").join(logs, ["context", "last"]).groupBy("batch").agg(F.collect_list(F.struct("context", rest.alias("rest"))).alias("known"))
     scores = staged(batches.select("batch", "texts").join(known, "batch", "left").select("batch", "texts", "known").mapInArrow(_scored, "batch long, at int, id long, lang string, ppl double"), "scores")
+    discard(grams, logs)
     q = lambda held: F.percentile_approx(F.when(held, F.col("ppl")), F.lit(quantile), F.lit(10_000)) * margin
     own = F.coalesce(q(F.col("held")), q(F.lit(True)))
     with_trust = scores.join(trusted, ["batch", "at"])
