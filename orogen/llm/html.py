@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,9 @@ NAMED = re.compile(
     r"disqus|repl(?:y|ies)|respond|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|popup|modal|overlay|share|sharing|social|related|recommended|widgets?|pagination|pager|toolbar|skip-?link|login|search(?:-?form)?)(?=$|[\s_-])",
     re.IGNORECASE,
 )
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.DOTALL)
+PLAIN = re.compile(r"[^>\"']*")
+MISSES = 64  # tags with an open quote that are looked at up to the page's end, before tags simply end at the next >
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 GOOD, BAD, OPEN = 1, -1, 0
 
@@ -66,6 +69,40 @@ def _outside(tag: str, attributes: str, depth_in: int) -> bool:
     return any(NAMED.search(got.get(k, "")) for k in ("class", "id"))
 
 
+class Tags:
+    """Where tags end, in time that grows with the page: what isn't there is looked for a few times at most."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.misses, self.unclosed = page, page.rfind(">"), 0, set()
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes start at ``at``, outside of quotes if those are closed; -1 if there is none."""
+        if at > self.last:
+            return -1
+        i = at
+        while self.misses < MISSES:
+            i = PLAIN.match(self.page, i).end()
+            if i >= len(self.page):
+                self.misses += 1
+                break
+            if self.page[i] == ">":
+                return i
+            i = self.page.find(self.page[i], i + 1) + 1
+            if not i:
+                self.misses += 1
+                break
+        return self.page.find(">", at)
+
+    def closing(self, tag: str, at: int) -> int:
+        """Where what follows the next end tag of this name starts; -1 if there is none."""
+        if tag not in self.unclosed:
+            m = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(self.page, at)
+            if m:
+                return m.end()
+            self.unclosed.add(tag)
+        return -1
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order."""
     out: list[Block] = []
@@ -73,6 +110,17 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     within: list[int] = []  # numbers of the open article and main elements
     linked = links = articles = outside = breaks = 0
+    tags, opened = Tags(page), Counter()
+
+    def close(where: int) -> None:
+        nonlocal outside, links
+        for t, o in stack[where:]:
+            opened[t] -= 1
+            outside -= o
+            links -= t == "a"
+            if t in ("article", "main"):
+                within.pop()
+        del stack[where:]
 
     def flush() -> None:
         nonlocal parts, linked, breaks
@@ -97,25 +145,29 @@ def blocks(page: str) -> list[Block]:
         if not m:
             put(page[at:])
             break
-        put(page[at : m.start()])
+        name, before = m[2], at
         at = m.end()
-        name = m[2]
+        attributes = ""
+        if name:
+            end = tags.end(at)
+            if end < 0:
+                put(page[before:])
+                break
+            attributes, at = page[at:end], end + 1
+        put(page[before : m.start()])
         if not name:
             if m[0].startswith("<![CDATA["):
                 put(m[0][9:].removesuffix("]]>"))
             continue
         tag = name.lower()
         if m[1]:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if tag in BLOCK:
                 flush()
-            if where >= 0 and (tag in BLOCK or where >= len(stack) - 8):
-                for t, o in stack[where:]:
-                    outside -= o
-                    links -= t == "a"
-                    if t in ("article", "main"):
-                        within.pop()
-                del stack[where:]
+            if opened[tag]:
+                least = 0 if tag in BLOCK else max(0, len(stack) - 8)
+                where = next((i for i in range(len(stack) - 1, least - 1, -1) if stack[i][0] == tag), -1)
+                if where >= 0:
+                    close(where)
             continue
         if tag == "br":
             breaks += 1
@@ -124,26 +176,25 @@ def blocks(page: str) -> list[Block]:
             else:
                 parts.append("\n")
             continue
-        if tag in SILENT and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            if end:
-                at = end.end()
+        if tag in SILENT and not attributes.rstrip().endswith("/"):
+            end = tags.closing(tag, at)
+            if end >= 0:
+                at = end
             elif tag in ("script", "style", "textarea", "noscript", "template", "iframe"):
                 at = n
             continue
         if tag in BLOCK:
             flush()
             if tag == "body":
-                stack, within, outside, links = [], [], 0, 0
+                close(0)
             if tag in ("p", "li", "dt", "dd") or len(tag) == 2 and tag[0] == "h":
                 while stack and (stack[-1][0] == "p" or stack[-1][0] not in BLOCK and any(t == "p" for t, _ in stack[-4:])):
-                    t, o = stack.pop()  # a new block ends an open paragraph and what is open in it
-                    outside -= o
-                    links -= t == "a"
-        if tag in VOID or m[3].rstrip().endswith("/"):
+                    close(len(stack) - 1)  # a new block ends an open paragraph and what is open in it
+        if tag in VOID or attributes.rstrip().endswith("/"):
             continue
-        o = _outside(tag, m[3], len(within))
+        o = _outside(tag, attributes, len(within))
         stack.append((tag, o))
+        opened[tag] += 1
         outside += o
         links += tag == "a"
         if tag in ("article", "main"):

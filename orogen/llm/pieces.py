@@ -360,8 +360,11 @@ def turn_of(doc_id: int | None, seed: int) -> int:
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     c = counter(path)
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.count(t.as_py()) for t in b.column(1)], pa.int64())], names=["doc_id", "n_tokens"])
+    try:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.count(t.as_py()) for t in b.column(1)], pa.int64())], names=["doc_id", "n_tokens"])
+    finally:  # the worker lives on, and may run other operators next
+        c.known.clear()
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm.common import components, passing_columns, staged, table
+from orogen.llm.common import components, join_hot, passing_columns, staged, table
 
 BITS = 64
 SEED = 42
@@ -118,10 +118,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are left out, whatever their names. An empty table gives an empty one."""
     fps = staged(fingerprints(docs, id_col, text_col, width), "simhash")
     class_of = _classes(fps, distance)
-    reps = fps.groupBy("fp").agg(F.min("id").alias("rep")).join(class_of, "fp")
-    least = reps.groupBy("class").agg(F.min("rep").alias("component_id"))
-    known = staged(reps.join(least, "class").select("fp", "component_id"), "components")
-    return fps.join(known, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    reps = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")).join(class_of, "fp"), "classes")
+    least = staged(reps.groupBy("class").agg(F.min("rep").alias("component_id")), "least")
+    known = staged(join_hot(reps, least, "class").select("fp", "component_id"), "components")
+    return join_hot(fps, known, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @passing_columns
