@@ -1,7 +1,10 @@
 """A training corpus from raw documents: five stages, each written and read back before the next.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns of ``documents``."""
+the columns of ``documents``. In every stage nulls in any column, empty and very long texts are rows like others:
+a null or empty text is rejected by the first stage. Repeated rows are judged alike by the first stage, the second keeps one of them;
+of documents without id one a group at most. An empty table gives an empty one, and further columns pass through, whatever
+their names. Where stages stage tables, those are deleted once the stage's result is written."""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orogen.llm import mixing, pieces, quality, secrets, simhash
-from orogen.llm.common import shared_dir, table
+from orogen.llm.common import delete, scratch, shared_dir, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return simhash.deduplicated(docs)
+    """One document of each SimHash group stays: fingerprints of five-word shingles that differ in six bits or fewer are linked."""
+    return simhash.deduplicated(docs, width=5, distance=6)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. Only the last one's table stays in the shared folder."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
