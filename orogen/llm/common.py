@@ -19,16 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_folders: dict[str, list[str]] = {}  # by application, the folders that are in use in place of the session's own
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where the session names none: one of our own in local
     mode, where there is one machine, and a folder of the warehouse on a cluster."""
+    own = _folders.setdefault(spark.sparkContext.applicationId, [])
+    if own:
+        return own[-1]
     where = spark.conf.get(CHECKPOINT_DIR, None)
     if not where:
         if spark.sparkContext.master.startswith("local"):
             where = f"file://{tempfile.mkdtemp(prefix='orogen-')}"
         else:
             where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/orogen-staging"
-        spark.conf.set(CHECKPOINT_DIR, where)
+        own.append(where)
     return where.rstrip("/")
 
 
@@ -59,15 +65,15 @@ def discard(*tables: DataFrame | None) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
-    """A folder for what is staged within, deleted at the end: for callers that write their result there."""
-    before = shared_dir(spark)
-    own = f"{before}/scratch-{uuid.uuid4().hex}"
-    spark.conf.set(CHECKPOINT_DIR, own)
+    """A folder for what is staged within, deleted at the end: for callers that write their result elsewhere."""
+    here = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    own = _folders[spark.sparkContext.applicationId]
+    own.append(here)
     try:
-        yield own
+        yield here
     finally:
-        spark.conf.set(CHECKPOINT_DIR, before)
-        delete(spark, own)
+        own.pop()
+        delete(spark, here)
 
 
 def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", least: int = 1000, most: int = 1000) -> DataFrame:

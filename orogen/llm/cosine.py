@@ -22,7 +22,7 @@ from orogen.llm.vectors import POS_BITS, SEQ_BITS, dimension, finite, matrix, pa
 
 RADIX = 4  # bits of the sequence number that a step of the recursion descends
 FINE = 4  # cells to an epsilon
-RUN_ROWS = 256
+RUN_ROWS, SHORT_RUN = 256, 32  # most and, but for the last of a block, least rows of a run
 BLOCK_BYTES = 16 << 20
 BAND = 2e-5  # more than single precision can be wrong by in a product of unit vectors of up to a few thousand components
 
@@ -98,10 +98,21 @@ def _least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def run_gaps(a: np.ndarray, b: np.ndarray, rows: int = RUN_ROWS) -> np.ndarray:
-    """Squared distance between the boxes of each run of ``a`` and each of ``b`` (projections)."""
-    ends = lambda p: (np.minimum.reduceat(p, np.arange(0, len(p), rows)), np.maximum.reduceat(p, np.arange(0, len(p), rows)))
-    (alo, ahi), (blo, bhi) = ends(a), ends(b)
+def run_starts(p: np.ndarray, eps: float) -> np.ndarray:
+    """Where runs of the rows with projections ``p`` start: at a step wider than ``eps``, or when a run is full."""
+    steps = np.nonzero(((p[1:] - p[:-1]) ** 2).sum(axis=1) > eps * eps)[0] + 1
+    out = [0]
+    for s in [*steps.tolist(), len(p)]:
+        while s - out[-1] > RUN_ROWS:
+            out.append(out[-1] + RUN_ROWS)
+        if SHORT_RUN <= s - out[-1] and s < len(p):
+            out.append(s)
+    return np.array(out)
+
+
+def run_gaps(a: np.ndarray, sa: np.ndarray, b: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    """Squared distance between the boxes of each run of ``a`` and each of ``b`` (projections, and where runs start)."""
+    (alo, ahi), (blo, bhi) = ((np.minimum.reduceat(p, s), np.maximum.reduceat(p, s)) for p, s in ((a, sa), (b, sb)))
     out = np.zeros((len(alo), len(blo)))
     for j in range(a.shape[1]):
         out += np.maximum(0.0, np.maximum(blo[None, :, j] - ahi[:, None, j], alo[:, None, j] - bhi[None, :, j])) ** 2
@@ -120,18 +131,20 @@ def link_blocks(a: np.ndarray, b: np.ndarray | None, least: float, axes: np.ndar
     n = len(a) if within else len(a) + len(b)
     counts, label = np.zeros(n, np.int64), np.arange(n)
     eps = math.sqrt(max(0.0, 2 - 2 * least)) * (1 + 1e-9) + 1e-9
-    near = run_gaps(a @ axes, b @ axes) <= eps * eps
+    qa, qb = a @ axes, b @ axes
+    sa, sb = run_starts(qa, eps), run_starts(qb, eps)
+    near = run_gaps(qa, sa, qb, sb) <= eps * eps
     fa, fb = a.astype(np.float32), b.astype(np.float32)
-    for r in range(len(near)):
-        s = r * RUN_ROWS
+    lengths = np.diff(np.append(sb, len(b)))
+    for r, (s, e) in enumerate(zip(sa, np.append(sa[1:], len(a)), strict=True)):
         runs = near[r].copy()
         if within:
             runs[:r] = False
-        cols = np.nonzero(np.repeat(runs, RUN_ROWS)[: len(b)])[0]
+        cols = np.nonzero(np.repeat(runs, lengths))[0]
         for t in range(0, len(cols), tile):
             some = cols[t : t + tile]
             one = some[-1] - some[0] + 1 == len(some)
-            p = fa[s : s + RUN_ROWS] @ (fb[some[0] : some[-1] + 1] if one else fb[some]).T
+            p = fa[s:e] @ (fb[some[0] : some[-1] + 1] if one else fb[some]).T
             i, j = np.nonzero(p >= least - BAND)
             if not len(i):
                 continue

@@ -46,8 +46,26 @@ def everything(odd, spark):
 @pytest.mark.parametrize("name", ["tokens", "pieces", "simhash", "mix", "secrets", "redact", "langid", "quality"])
 def test_odd_rows_and_empty_tables(spark, odd, name):
     run = everything(odd, spark)[name]
-    assert run(odd).count() == odd.count()
-    assert run(odd.limit(0)).count() == 0
+    rows = run(odd).collect()
+    assert len(rows) == odd.count()
+    assert run(odd.limit(0)).collect() == []
+    ones = [tuple(r) for r in rows if r["doc_id"] == 1]
+    assert len(ones) == 2 and repr(ones[0]) == repr(ones[1])
+    by = {r["doc_id"]: r for r in rows}
+    nothing = {
+        "tokens": lambda r: r["n_tokens"] == 0,
+        "pieces": lambda r: r["ids"] == [] and r["lossless"],
+        "simhash": lambda r: r["fingerprint"] == "0" * 16 and r["component_id"] == 2,
+        "mix": lambda r: r["__tokens"] == 0 and r["__probability"] == 0 and not r["__sampled"] and r["__topic"] == "other",
+        "secrets": lambda r: r["spans"] == "" and r["n_hex"] == 0,
+        "redact": lambda r: not r["text"],
+        "langid": lambda r: r["lang_pred"] == "und" and r["score"] == 0,
+        "quality": lambda r: r["__ppl"] is None and not r["__keep"],
+    }[name]
+    assert nothing(by[2]) and nothing(by[3])
+    if name in ("mix", "redact", "quality"):  # columns with clashing names come through
+        kept = sorted((repr(r["doc_id"]), r["fp"], r["spans"], r["n_chars"]) for r in rows)
+        assert kept == sorted((repr(r["doc_id"]), r["fp"], r["spans"], r["n_chars"]) for r in odd.collect())
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
@@ -64,10 +82,10 @@ def test_query_equals_sql(spark, sf, name):
     assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == want
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, width=4):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
-    grams = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([" ".join(w)] if w else [])
+    grams = [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] or ([" ".join(w)] if w else [])
     hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
 
@@ -125,6 +143,39 @@ def test_copied_examples_are_kept_and_live_secrets_masked(spark):
     assert out[0] == f"key {common} end" and out[9] == "my [SECRET]"
 
 
+def test_a_value_in_many_repositories_is_an_example(spark):
+    v = "0123456789abcdef01234567"
+    few = secrets.report(secrets.scan(docs_of(spark, [(i, v, "en", "one") for i in range(29)]))).agg(F.sum("n_live")).first()[0]
+    many = secrets.report(secrets.scan(docs_of(spark, [(i, v, "en", "one") for i in range(30)]))).agg(F.sum("n_live")).first()[0]
+    assert few == 29 and many == 0
+
+
+def slow_spans(text):
+    kinds = (("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24))
+    base = [(m.start(), k, m.end(), name) for k, (name, p, g, least) in enumerate(kinds) for m in re.finditer(p, text) if len(m[g]) >= least]
+    extra = [(m.start(), 3, m.end(), "opaque") for m in re.finditer(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{24,}", text)]
+    free = [e for e in extra if not any(b[0] < e[2] and e[0] < b[2] for b in base)]
+    return ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in sorted(base + free))
+
+
+def test_long_texts_with_many_matches(spark):
+    rng = np.random.default_rng(4)
+    token = lambda n: "".join(rng.choice(list("abcdefxyzXYZ0123456789"), n))
+    parts = [f"secret = {token(12)} é" if i % 3 else token(30) + " \U0001f600" for i in range(6000)]
+    texts = [" ".join(parts), "token: " + "0a" * 20 + "-x " + "f" * 30 + "_" + token(5), "a\ue000b\ue001" + "ab1" * 10]
+    df = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = secrets.report(secrets.scan(df)).orderBy("doc_id").collect()
+    assert [r["spans"] for r in got] == [slow_spans(t) for t in texts]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    for i, t in enumerate(texts):
+        out, at = [], 0
+        for x in sorted((int(a), int(b)) for _, a, b in (s.split(":") for s in slow_spans(t).split(","))):
+            if x[0] >= at:
+                out += [t[at : x[0]], "[SECRET]"]
+            at = max(at, x[1])
+        assert clean[i] == "".join([*out, t[at:]])
+
+
 def test_pieces_equal_the_library_and_decode(spark):
     import sentencepiece
 
@@ -189,7 +240,7 @@ def test_search_with_ties_and_repeats(spark):
     rng = np.random.default_rng(2)
     v = np.round(rng.normal(size=(90, 5)), 1)
     rows = [(int(i // 2), v[i // 3].tolist()) for i in range(90)] + [(None, v[0].tolist()), (60, None), (80, [1.0, None, 0.0, 0.0, 0.0])]
-    got = [tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=7, leaves=5).collect()]
+    got = [tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=7, nodes=5, block_bytes=1).collect()]
     use = [(i, np.floor(64 * np.array(x)).astype(int)) for i, x in rows if x and None not in x]
     want = []
     for n, (i, q) in enumerate(use):
@@ -200,11 +251,106 @@ def test_search_with_ties_and_repeats(spark):
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_search_with_large_values_and_extra_columns(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 4))
+    v[7], v[20], v[33] = 1e10, -3e11, 1e300
+    v[40] *= 5000
+    rows = [(i, x.tolist(), i, b"x") for i, x in enumerate(v)] + [(61, [1e308 * 10, 0.0, 0.0, 0.0], 0, b"y"), (62, [math.nan, 0.0, 0.0, 0.0], 0, b"y")]
+    got = [tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node int, data binary"), k=5).collect()]
+    whole = [[math.floor(64.0 * x) for x in r] for r in v.tolist()]
+    want = []
+    for i in range(0, 60, 20):
+        s = [(-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(whole[i], whole[j], strict=True)))), j) for j in range(60) if j != i]
+        want += [(i, r + 1, j, -x) for r, (x, j) in enumerate(sorted(s)[:5])]
+    assert sorted(got) == sorted(want)
+
+
+def test_search_drops_distant_nodes_of_clustered_vectors():
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(64, 64))
+    m = np.floor(64 * (centers[rng.integers(0, 64, 8192)] + 0.05 * rng.normal(size=(8192, 64))))
+    data, queries = topk.local_rows(0, np.arange(8192), np.ones(8192, np.uint8), m, "i2", 20)
+    s = (queries.vecs.astype(float) @ data.vecs.astype(float).T)
+    low = np.sort(s, axis=1)[:, -21]
+    least = np.array([low[a:b].min(initial=np.inf) for a, b in zip(queries.starts, queries.starts[1:])])  # noqa: B905
+    keep = topk.surviving(queries.tree, queries.radii, queries.tree.least(least), data.tree, data.radii)
+    there = np.outer(np.diff(queries.starts) > 0, np.diff(data.starts) > 0)
+    assert keep.sum() < 0.1 * there.sum()
+    got = topk.search_rows(queries, data, low, 20)
+    assert sum(len(g[0]) for g in got) >= 20 * len(low)
+
+
+def test_joins_drop_distant_runs_of_clustered_vectors():
+    rng = np.random.default_rng(9)
+    m = cosine.unit(rng.normal(size=(32, 64))[rng.integers(0, 32, 8192)] + 0.05 * rng.normal(size=(8192, 64)))
+    axes = cosine.principal_axes(m, 16)
+    eps = math.sqrt(0.1)
+    cells = np.floor(m @ axes / (eps / cosine.FINE)).astype(int)
+    m = m[np.lexsort(cells[:, :7].T[::-1])]
+    starts = cosine.run_starts(m @ axes, eps)
+    near = cosine.run_gaps(m @ axes, starts, m @ axes, starts) <= eps * eps
+    assert near.mean() < 0.3
+    counts, label = cosine.link_blocks(m, None, 0.95, axes)
+    links = (m @ m.T >= 0.95).sum(axis=1) - 1
+    assert (counts == links).all() and len(set(label)) < len(m)
+
+
+def test_mixing_meets_its_targets(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    targets = {"lang": {"en": 2.0, "de": 1.0, "fr": 1.0, "es": 1.0, "none": 5.0}}
+    got = mixing.mix(docs, targets=targets, fraction=0.2, alpha={"source": 0.8, "lang": 1.0, "topic": 1.0}, topic_of=lambda t: F.when(F.length(t) > 1000, "long").otherwise("short")).toPandas()
+    x = got.assign(x=got["__tokens"] * got["__probability"]).groupby("lang").x.sum()
+    goal = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+    assert all(abs(x[k] / x.sum() - g) < 0.01 * g for k, g in goal.items())
+    assert abs(x.sum() - 0.2 * got["__tokens"].sum()) < 1e-3 * x.sum() and got["__probability"].max() <= 1
+    assert set(got["__topic"]) == {"long", "short"}
+
+
+def test_topics_are_the_words_used_most(spark):
+    rows = [(i, f"common {'alphas ' * (i % 3)} {'bravos ' * (i % 2)} tail", "en", "a") for i in range(30)]
+    df = docs_of(spark, rows)
+    assert mixing.marker_words(df, "text", 2, 0.7) == ["alphas", "bravos"]
+    topics = {r["doc_id"]: r["__topic"] for r in mixing.mix(df, topics=2, most_docs=0.7).collect()}
+    assert topics == {i: "other" if i % 6 == 0 else "bravos" if i % 3 == 0 else "alphas" for i in range(30)}
+
+
 def test_held_out_languages(spark, sf):
     got = langid.op8_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("held_out")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
 
 
+def slow_phrases(text, known):
+    n, i = 0, 0
+    while i < len(text):
+        k = i + 1
+        while k < len(text) and text[i : k + 1] in known:
+            k += 1
+        n, i = n + 1, k
+    return n
+
+
+def test_languages_equal_a_slow_parse(spark):
+    rng = np.random.default_rng(6)
+    words = {"aa": ["foo", "fool", "of", "lof"], "bb": ["bar", "rab", "abra", "fo"], "cc": ["żółw", "wół", "ów"]}
+    rows = [(i, " ".join(rng.choice(words[lang], 12)) + (". X2 ½" if i % 2 else ""), lang if i % 7 else None, "s") for i in range(60) for lang in [["aa", "bb", "cc"][i % 3]]]
+    rows += [(100, "½ ² 12 !", "aa", "s"), (101, "日本", None, "s"), (102, None, None, None)]
+    df = docs_of(spark, rows)
+    got = {r["doc_id"]: r for r in langid.identify(df, docs_per_lang=4).collect()}
+    import zlib
+
+    fold = {r[0]: zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in rows}
+    fit = spark.createDataFrame([(r[1], r[2]) for r in rows if not fold[r[0]]], "text string, lang string")
+    known = {lang: "".join(texts) for lang, texts in langid.training_sample(fit, 4)}
+    clean = lambda t: " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split())
+    assert len(known) == 3
+    for i, text, _, _ in rows:
+        low = clean(text)
+        cost = sorted((slow_phrases(f" {low} ", k) * math.log2(len(k) + 1), lang) for lang, k in known.items())
+        want = (cost[0][1], 1 - cost[0][0] / cost[1][0]) if low else ("und", 0.0)
+        assert (got[i]["lang_pred"], got[i]["held_out"]) == (want[0], fold[i]) and math.isclose(got[i]["score"], want[1])
+
+
 def test_longest_pieces_of_an_automaton():
     text = "abracadabra alakazam"
     a = langid.SuffixAutomaton(text)
@@ -218,19 +364,81 @@ def test_longest_pieces_of_an_automaton():
         assert a.phrases(s) == n
 
 
-def test_kneser_ney_sums_to_one(spark):
-    texts = spark.createDataFrame([("the cat sat on the mat. the cat ran.",), ("a dog sat on a log, and the dog ran.",)], "text string")
-    logs = quality.interpolate(quality.fit(quality.ngram_counts(texts)))
-    p = np.exp(logs.astype(float)).reshape(-1, quality.SYMBOLS)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
-    s = quality.symbols("the cat")
-    assert logs[quality.grams(s)].mean() > logs[quality.grams(quality.symbols("xqz jvk"))].mean()
+def slow_model(texts):
+    """Kneser-Ney probabilities by plain counting; a function of (context, symbol)."""
+    from collections import Counter, defaultdict
+
+    top = Counter()
+    for t in texts:
+        s = quality.symbols(t).tolist()
+        top.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
+    levels = {4: top}
+    for n in (3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    tables = {}
+    for n, counts in levels.items():
+        k = [sum(1 for c in counts.values() if c == i) for i in (1, 2, 3, 4)]
+        y = k[0] / (k[0] + 2 * k[1]) if k[0] else 0.5
+        d = [min(float(i), max(0.0, i - (i + 1) * y * k[i] / k[i - 1])) if k[i - 1] else 0.0 for i in (1, 2, 3)]
+        by, left = defaultdict(int), defaultdict(float)
+        for g, c in counts.items():
+            by[g[:-1]] += c
+            left[g[:-1]] += d[min(c, 3) - 1]
+        tables[n] = (counts, d, by, left)
+    size = len(levels[1]) + 1
+
+    def p(g):
+        out = 1 / size
+        for n in (1, 2, 3, 4):
+            counts, d, by, left = tables[n]
+            tail = g[4 - n :]
+            if tail[:-1] in by:
+                c = counts.get(tail, 0)
+                out = ((c - d[min(c, 3) - 1]) if c else 0) / by[tail[:-1]] + left[tail[:-1]] / by[tail[:-1]] * out
+        return out
+
+    return p, [g[0] for g in levels[1]]
+
+
+def test_perplexities_equal_plain_counting(spark):
+    rng = np.random.default_rng(1)
+    words = "the cat sat on the mat and a dog ran łódź 日本 😀".split()
+    rows = [(i, " ".join(rng.choice(words, 15)), "en" if i % 3 else "de", "s") for i in range(40)] + [(50, "xqz jvk", "fr", "s"), (51, "", "en", "s"), (52, None, None, None), (50, "again again again", "en", "s")]
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    df = docs_of(spark, rows)
+    got = quality.classify(df, labels, quantile=0.9, margin=1.2).collect()
+    fold = {r["doc_id"]: r["h"] for r in df.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("h")).collect()}
+    p, alphabet = slow_model([t for i, t, _, _ in rows if i < 30 and i != 3 and not fold[i]])
+    some = tuple(quality.symbols("the cat").tolist()[2:5])
+    assert math.isclose(sum(p((*some, c)) for c in alphabet) + p((*some, 7)), 1, rel_tol=1e-9)
+
+    def ppl(t):
+        s = quality.symbols(t).tolist()
+        logs = [math.log(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3)]
+        return math.exp(-sum(logs) / len(logs))
+
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["__ppl"] is None) if not r["text"] else math.isclose(r["__ppl"], ppl(r["text"]), rel_tol=1e-5)
+    for lang in ("en", "de"):
+        mine = sorted(ppl(t) for i, t, x, _ in rows if x == lang and i < 30 and i != 3 and fold[i]) or sorted(ppl(t) for i, t, x, _ in rows if x == lang and i < 30 and i != 3)
+        most = mine[math.ceil(0.9 * len(mine)) - 1] * 1.2
+        assert all(math.isclose(r["__most"], most, rel_tol=1e-5) and r["__keep"] == (r["__ppl"] is not None and r["__ppl"] <= r["__most"]) for r in got if r["lang"] == lang)
+    none = quality.classify(df, labels.limit(0)).collect()
+    assert all(r["__keep"] == bool(r["text"]) for r in none)
+
+
+def test_an_alphabet_too_large_is_split():
+    texts = ["".join(chr(c) for c in range(a, a + 40_000)) for a in (0x10000, 0x20000, 0x30000)]
+    parts = list(quality.split_batch(texts))
+    assert [at for at, _ in parts] == [0, 1, 2] and all(len(b.alphabet) <= 0xFFFF for _, b in parts)
 
 
 def test_trusted_documents_are_kept_and_junk_goes(spark, sf):
-    got = quality.op9_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    rate = {r["quality"]: r["k"] for r in got.groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("k")).collect()}
-    assert rate[1] > 0.97 and rate[0] < 0.1
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.op9_quality_classifier(spark, sf).join(labels, "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
+    rate = {(r["quality"], r["held"]): r["k"] for r in got.groupBy("quality", "held").agg(F.avg(F.col("keep").cast("int")).alias("k")).collect()}
+    assert rate[1, True] > 0.9 and rate[1, False] > 0.97 and rate[0, True] < 0.1 and rate[0, False] < 0.1
 
 
 def test_a_rare_language_has_its_own_threshold(spark):
@@ -238,9 +446,8 @@ def test_a_rare_language_has_its_own_threshold(spark):
     rows += [(1000 + i, f"zażółć gęślą jaźń źdźbło {chr(97 + i % 26)} chrząszcz brzmi w trzcinie", "pl", "a") for i in range(4)] + [(2000, "zażółć gęślą jaźń źdźbło z chrząszcz brzmi w trzcinie", "pl", "a"), (3000, "the mat and the cat", "it", "a")]
     labels = spark.createDataFrame([(r[0], 1) for r in rows if r[0] < 2000], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in quality.classify(docs_of(spark, rows), labels).collect()}
-    own = max(got[1000 + i]["__ppl"] for i in range(4)) * 1.35
-    assert all(math.isclose(got[k]["__most"], own, rel_tol=1e-9) for k in (1000, 2000)) and got[2000]["__keep"]
-    assert got[0]["__most"] < got[3000]["__most"]  # without trusted documents: the quantile over all
+    assert got[1000]["__most"] == got[2000]["__most"] and got[2000]["__keep"] and got[1000]["__most"] != got[0]["__most"]
+    assert got[3000]["__most"] not in (None, got[1000]["__most"])  # without trusted documents: the quantile over all
 
 
 def test_pages():
@@ -265,9 +472,21 @@ def test_block_rules_hold_beside_articles():
     assert html.extract(f"<body><ul><li><a href=/a>Home</a></li></ul><p>{body * 2}</p><p>{foreign}</p><p>{body * 2}</p></body>") == f"{body * 2}\n{foreign}\n{body * 2}"
 
 
+def test_pages_without_ends_take_linear_time():
+    import time
+
+    start = time.time()
+    for page in ("<a " * 350_000, '<a "x ' * 170_000 + ">", "<div>" * 100_000 + "</span>" * 100_000, "<select>x" * 100_000, "<p>" + "word " * 200_000):
+        html.extract(page)
+    assert time.time() - start < 60
+    assert html.extract("<p>a < b and <b c") == "a < b and <b c" and html.extract('<p class="x>y">in <i title=">">it</i></p>') == "in it"
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>"), (None, None, None), (1, "u", "<p>x</p>")], "page_id long, url string, html string")
     assert sorted(repr(tuple(r)) for r in html.main_text(df).collect()) == sorted(map(repr, [(1, "u", "x", 1), (None, None, "", 0), (1, "u", "x", 1)]))
+    clash = df.withColumn("text", F.lit("t")).withColumn("n_chars", F.lit(9))
+    assert html.main_text(clash).where("page_id = 1").first()["text"] == "x" and html.main_text(df.limit(0)).collect() == []
 
 
 def test_pipeline(spark, sf):
@@ -276,11 +495,11 @@ def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = p.keep_quality(spark, docs, sf)
     assert kept.columns == docs.columns
-    words = {r["doc_id"]: slow_fingerprint(r["text"]) for r in kept.collect()}
+    words = {r["doc_id"]: slow_fingerprint(r["text"], 5) for r in kept.collect()}
     stay = {r["doc_id"] for r in p.drop_near_duplicates(spark, kept, sf).collect()}
     comp = {k: k for k in words}
     for _ in words:
-        new = {a: min(comp[b] for b in words if (words[a] ^ words[b]).bit_count() <= 4) for a in words}
+        new = {a: min(comp[b] for b in words if (words[a] ^ words[b]).bit_count() <= 6) for a in words}
         if new == comp:
             break
         comp = new
