@@ -9,7 +9,8 @@ queries under a node then decides, from the root down, which pairs of nodes are
 dropped by their covering radii: nodes of the upper tree first, then blocks, then,
 within a pair of blocks, the nodes of their own trees.
 
-Queries are shipped to data, never the other way, and vectors travel as small
+Of rows with equal vectors, which score alike, those with the k + 1 smallest ids are
+data, as no other can be among any query's k best; all queries are kept. Queries are shipped to data, never the other way, and vectors travel as small
 integers where their components allow it.
 """
 
@@ -117,25 +118,25 @@ class Rows:
     radii: list[np.ndarray]
     ids: np.ndarray
     has: np.ndarray  # 0 where the id is null
-    at: np.ndarray  # place in the block
+    rows: np.ndarray  # number of the row
     kind: str
     vecs: np.ndarray
 
 
-def local_rows(block: int, ids: np.ndarray, has: np.ndarray, m: np.ndarray, kind: str, every: int) -> tuple[Rows, Rows | None]:
-    """The block with a cover tree of its own, and the queries in it."""
+def local_rows(block: int, ids: np.ndarray, has: np.ndarray, rows: np.ndarray, data: np.ndarray, m: np.ndarray, kind: str, every: int) -> tuple[Rows, Rows]:
+    """The block's data with a cover tree of all its rows, and the queries in it."""
     m = m.astype(np.float64)
     tree = CoverTree(m, max(1, min(MOST_LEAVES, len(m) // LEAF_ROWS)))
     leaf = tree.nearest(m)
     order = np.argsort(leaf, kind="stable")
-    ids, has, m, leaf = ids[order], has[order], m[order], leaf[order]
+    ids, has, rows, data, m, leaf = ids[order], has[order], rows[order], data[order], m[order], leaf[order]
     far = np.linalg.norm(m - tree.centers[leaf], axis=1) * (1 + 1e-12) + 1e-9
-    out: list[Rows | None] = []
-    for some in (np.arange(len(ids)), np.nonzero((ids % every == 0) & (has == 1))[0]):
+    out = []
+    for some in (np.nonzero(data)[0], np.nonzero((ids % every == 0) & (has == 1))[0]):
         r = np.full(tree.sizes[-1], -1.0)
         np.maximum.at(r, leaf[some], far[some])
         starts = np.searchsorted(leaf[some], np.arange(tree.sizes[-1] + 1))
-        out.append(Rows(block, tree, starts, tree.radii(r), ids[some], has[some], some, kind, m[some].astype(kind)) if len(some) else None)
+        out.append(Rows(block, tree, starts, tree.radii(r), ids[some], has[some], rows[some], kind, m[some].astype(kind)))
     return out[0], out[1]
 
 
@@ -151,12 +152,14 @@ def products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.array([[min(MOST, max(LEAST, x)) for x in row] for row in s.tolist()], dtype=object).reshape(s.shape)
 
 
-def best_of(q: np.ndarray, d: np.ndarray, ids: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, data row, score) of up to k best data rows a query, none under its
-    ``floor``; ties to the smaller id. ``own``: a query's own data row or -1."""
+def best_of(q: np.ndarray, d: np.ndarray, ids: np.ndarray, own: np.ndarray, floor: np.ndarray, last: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, data row, score) of up to k best data rows a query, none after the
+    one of score ``floor`` and id ``last``; ties to the smaller id. ``own``: a query's own data row or -1."""
     s = products(q, d)
     big = s.dtype == object
-    mask = np.asarray(s >= (floor.astype(object) if big else floor)[:, None], bool)
+    low = (floor.astype(object) if big else floor)[:, None]
+    mask = np.asarray(s >= low, bool)
+    mask &= np.asarray(s != low, bool) | (ids[None, :] <= last[:, None])
     there = own >= 0
     mask[np.nonzero(there)[0], own[there]] = False
     if not big and s.shape[1] > k and mask.sum() > 8 * k * len(q):
@@ -171,8 +174,8 @@ def best_of(q: np.ndarray, d: np.ndarray, ids: np.ndarray, own: np.ndarray, floo
     return i[top], j[top], v[top]
 
 
-def search_rows(q: Rows, d: Rows, low: np.ndarray, k: int, chunk: int = 256) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query row, data row, score) of up to k rows of ``d`` for each query, none under its kth score so far (``low``)."""
+def search_rows(q: Rows, d: Rows, low: np.ndarray, last: np.ndarray, k: int, chunk: int = 256) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query row, data row, score) of up to k rows of ``d`` for each query, none after its kth so far (score ``low``, id ``last``)."""
     leaf_low = np.array([low[a:b].min(initial=math.inf) for a, b in zip(q.starts, q.starts[1:], strict=False)])
     keep = surviving(q.tree, q.radii, q.tree.least(leaf_low), d.tree, d.radii)
     out = []
@@ -180,32 +183,32 @@ def search_rows(q: Rows, d: Rows, low: np.ndarray, k: int, chunk: int = 256) ->
         return out
     ids = np.where(d.has == 1, d.ids, MOST)
     sizes = np.diff(d.starts)
-    same = q.block == d.block
+    at = np.full(len(q.ids), -1)  # a query's own place in the data
+    if q.block == d.block:
+        order = np.argsort(d.rows)
+        place = np.minimum(np.searchsorted(d.rows[order], q.rows), len(order) - 1)
+        at = np.where(d.rows[order][place] == q.rows, order[place], -1)
     if keep.mean() > 0.3:  # most of it is needed: whole rows of queries at once
         groups = [(np.arange(a, min(a + chunk, len(q.ids))), keep.any(axis=0)) for a in range(0, len(q.ids), chunk)]
     else:
         groups = [(np.arange(q.starts[g], q.starts[g + 1]), keep[g]) for g in np.nonzero(keep.any(axis=1))[0]]
     for rows, leaves in groups:
         cols = np.nonzero(np.repeat(leaves, sizes))[0]
-        own = np.full(len(rows), -1)
-        if same:
-            place = np.searchsorted(cols, q.at[rows])
-            inside = place < len(cols)
-            inside[inside] = cols[place[inside]] == q.at[rows][inside]
-            own[inside] = place[inside]
-        i, j, v = best_of(q.vecs[rows], d.vecs[cols], ids[cols], own, low[rows], k)
+        place = np.minimum(np.searchsorted(cols, at[rows]), len(cols) - 1)
+        own = np.where(cols[place] == at[rows], place, -1)
+        i, j, v = best_of(q.vecs[rows], d.vecs[cols], ids[cols], own, low[rows], last[rows], k)
         out.append((rows[i], cols[j], v))
     return out
 
 
-FOUND = "qrid long, query_id long, vec_id long, rid long, score long"
+FOUND = "q long, qrid long, query_id long, vec_id long, rid long, score long"
 
 
 def _found(q: Rows, d: Rows, got: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     i, j, v = (np.concatenate([g[x] for g in got]) if got else np.empty(0, np.int64) for x in range(3))
     return pa.RecordBatch.from_arrays(
-        [pa.array((q.block << POS_BITS) + q.at[i]), pa.array(q.ids[i]), pa.array(d.ids[j], mask=d.has[j] == 0), pa.array((d.block << POS_BITS) + d.at[j]), pa.array(v)],
-        names=["qrid", "query_id", "vec_id", "rid", "score"],
+        [pa.array(np.full(len(i), q.block)), pa.array(q.rows[i]), pa.array(q.ids[i]), pa.array(d.ids[j], mask=d.has[j] == 0), pa.array(d.rows[j]), pa.array(v)],
+        names=["q", "qrid", "query_id", "vec_id", "rid", "score"],
     )
 
 
@@ -241,12 +244,12 @@ def _packed(ordered: DataFrame, dim: int, every: int, rows: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, held, count
-            ids, has = (np.concatenate([h[i] for h in held]) for i in range(2))
-            m = np.frombuffer(b"".join([x for h in held for x in h[2]]), KINDS[key[1]]).reshape(-1, dim)
-            data, group = local_rows(first + seq, ids, has, m, KINDS[key[1]], every)
+            ids, has, row, data = (np.concatenate([h[i] for h in held]) for i in range(4))
+            m = np.frombuffer(b"".join([x for h in held for x in h[4]]), KINDS[key[1]]).reshape(-1, dim)
+            data, group = local_rows(first + seq, ids, has, row, data, m, KINDS[key[1]], every)
             mid = m.astype(np.float64).mean(axis=0)
-            reach = lambda r: float(np.linalg.norm(r.vecs.astype(np.float64) - mid, axis=1).max()) * (1 + 1e-12) + 1e-9 if r else -1.0
-            cols = [[first + seq], [key[0]], [len(ids)], [len(group.ids) if group else 0], [mid.tolist()], [reach(data)], [reach(group)], [pickle.dumps(data)], [pickle.dumps(group) if group else None]]
+            reach = lambda r: float(np.linalg.norm(r.vecs.astype(np.float64) - mid, axis=1).max()) * (1 + 1e-12) + 1e-9 if len(r.ids) else -1.0
+            cols = [[first + seq], [key[0]], [len(data.ids)], [len(group.ids)], [mid.tolist()], [reach(data)], [reach(group)], [pickle.dumps(data)], [pickle.dumps(group) if len(group.ids) else None]]
             seq, held, count = seq + 1, [], 0
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["block", "node", "n", "queries", "mid", "rd", "rq", "data", "group"])
@@ -257,6 +260,7 @@ def _packed(ordered: DataFrame, dim: int, every: int, rows: int) -> DataFrame:
             has = np.asarray(b.column(0).is_valid()).astype(np.uint8)
             ids = np.asarray(b.column(0).fill_null(0), np.int64)
             vecs, node, kind = b.column(1).to_pylist(), np.asarray(b.column(3)), np.asarray(b.column(2))
+            row, data = np.asarray(b.column(4)), np.asarray(b.column(5).to_pylist(), bool)
             cuts = [0, *(np.nonzero((np.diff(node) != 0) | (np.diff(kind) != 0))[0] + 1).tolist(), b.num_rows]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 here = (int(node[s]), int(kind[s]))
@@ -265,7 +269,7 @@ def _packed(ordered: DataFrame, dim: int, every: int, rows: int) -> DataFrame:
                 key = here
                 while s < e:
                     t = min(e, s + rows - count)
-                    held.append((ids[s:t], has[s:t], vecs[s:t]))
+                    held.append((ids[s:t], has[s:t], row[s:t], data[s:t], vecs[s:t]))
                     count, s = count + t - s, t
                     if count == rows:
                         yield flush()
@@ -275,10 +279,9 @@ def _packed(ordered: DataFrame, dim: int, every: int, rows: int) -> DataFrame:
     return ordered.mapInArrow(run, BLOCKS)
 
 
-def _below(score: np.ndarray) -> np.ndarray:
-    """Doubles that are not above the scores."""
-    low = score.astype(np.float64)
-    return np.where(np.abs(low) >= EXACT, np.nextafter(low, -math.inf), low)
+def _below(score: int) -> float:
+    """A double that is not above the score."""
+    return float(score) if abs(score) < EXACT else float(np.nextafter(float(score), -math.inf))
 
 
 def _own_block(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -286,20 +289,21 @@ def _own_block(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
     for batch in batches:
         for x in range(batch.num_rows):
             q, d = pickle.loads(batch.column(0)[x].as_py()), pickle.loads(batch.column(1)[x].as_py())
-            yield _found(q, d, search_rows(q, d, np.full(len(q.ids), -math.inf), k))
+            yield _found(q, d, search_rows(q, d, np.full(len(q.ids), -math.inf), np.full(len(q.ids), MOST), k))
 
 
 def _with_floors(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(q, node, low, worst) from (q, node, group, known): each query's kth score so far, and the least of them."""
+    """(q, node, low, last, worst) from (q, node, group, known): score and id of each query's kth so far, and the least score."""
     for batch in batches:
-        low, worst = [], []
+        low, last, worst = [], [], []
         for group, known in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            q, got = pickle.loads(group), dict(known or ())
-            by = np.array([got.get((q.block << POS_BITS) + p, LEAST) for p in q.at.tolist()], np.int64)
-            by = np.where(by == LEAST, -math.inf, _below(by))
+            q, got = pickle.loads(group), {x["qrid"]: x for x in known or ()}
+            some = [got.get(r) for r in q.rows.tolist()]
+            by = np.array([-math.inf if x is None else _below(x["s"]) for x in some])
             low.append(by.tobytes())
+            last.append(np.array([MOST if x is None or _below(x["s"]) != x["s"] else x["id"] for x in some], np.int64).tobytes())
             worst.append(float(by.min()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.binary()), pa.array(worst)], names=["q", "node", "low", "worst"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.binary()), pa.array(last, pa.binary()), pa.array(worst)], names=["q", "node", "low", "last", "worst"])
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -307,11 +311,11 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
     last, d = None, None
     for batch in batches:
         for x in range(batch.num_rows):
-            block, data, group, low = (batch.column(i)[x] for i in range(4))
+            block, data, group, low, after = (batch.column(i)[x] for i in range(5))
             if last != block.as_py():
                 last, d = block.as_py(), pickle.loads(data.as_py())
             q = pickle.loads(group.as_py())
-            got = search_rows(q, d, np.frombuffer(low.as_py()), k)
+            got = search_rows(q, d, np.frombuffer(low.as_py()), np.frombuffer(after.as_py(), np.int64), k)
             if got:
                 yield _found(q, d, got)
 
@@ -352,17 +356,22 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     block_rows = max(LEAF_ROWS, min(1 << POS_BITS, block_bytes // (8 * dim)))
     tree = CoverTree(sample, max(1, min(nodes, n // block_rows)))
     parts = max(1, math.ceil(n / block_rows))
-    put = staged(_assigned(whole, dim, tree), "assigned")
-    ordered = put.repartitionByRange(parts, "node", "kind", "vec_id").sortWithinPartitions("node", "kind", F.asc_nulls_last("vec_id"))
+    put = staged(_assigned(whole, dim, tree).withColumn("row", F.monotonically_increasing_id()), "assigned")
+    copies = Window.partitionBy("vec", "kind").orderBy(F.asc_nulls_last("vec_id"), "row")
+    data = put.withColumn("__n", F.row_number().over(copies)).where(F.col("__n") <= k + 1).drop("__n")
+    data = staged(data, "data")  # cut map-side before the shuffle, so a frequent vector weighs on no task
+    others = put.where(F.col("vec_id").isNotNull() & (F.col("vec_id") % every == 0)).join(data.select("row"), "row", "left_anti")
+    used = data.withColumn("data", F.lit(True)).unionByName(others.withColumn("data", F.lit(False)))
+    ordered = used.repartitionByRange(parts, "node", "kind", "vec_id").sortWithinPartitions("node", "kind", F.asc_nulls_last("vec_id")).select("vec_id", "vec", "kind", "node", "row", "data")
     blocks = staged(_packed(ordered, dim, every, block_rows), "blocks")
     with_queries = blocks.where("queries > 0")
     seen = staged(with_queries.select("group", "data").mapInArrow(lambda it: _own_block(it, k), FOUND), "own")
 
-    # a query's kth score so far, by block; a block has a bound on its rows
-    kth = seen.groupBy("qrid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).where(F.col("n") >= k)
-    known = kth.groupBy(F.shiftrightunsigned("qrid", POS_BITS).alias("q")).agg(F.map_from_entries(F.collect_list(F.struct("qrid", "s"))).alias("known"))
+    # a query's kth so far, by block; a block has a bound on its rows
+    kth = seen.groupBy("q", "qrid").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("score", (-F.coalesce("vec_id", F.lit(MOST))).alias("id"))).alias("m")).where(F.col("n") >= k)
+    known = kth.groupBy("q").agg(F.collect_list(F.struct("qrid", F.col("m.score").alias("s"), (-F.col("m.id")).alias("id"))).alias("known"))
     groups = with_queries.select(F.col("block").alias("q"), "node", "group").join(known, "q", "left").select("q", "node", "group", "known")
-    floors = staged(groups.mapInArrow(lambda it: _with_floors(it, k), "q long, node int, low binary, worst double"), "floors")
+    floors = staged(groups.mapInArrow(lambda it: _with_floors(it, k), "q long, node int, low binary, last binary, worst double"), "floors")
 
     # nodes of the upper tree: at most ``nodes`` rows
     rq, rd, worst = (np.full(len(tree.centers), x) for x in (-1.0, -1.0, math.inf))
@@ -384,8 +393,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     most = dot(F.col("qmid"), F.col("dmid")) + F.col("rq") * far("dmid") + far("qmid") * F.col("rd") + F.col("rq") * F.col("rd")
     pairs = staged(qs.join(ds, "node").where("q <> d").where(most * (1 + 1e-9) + F.abs(most) * 1e-9 + 1e-6 >= F.col("worst")).select("q", "d"), "pairs")
 
-    shipped = pairs.join(with_queries.select(F.col("block").alias("q"), "group").join(floors.select("q", "low"), "q"), "q")
-    todo = shipped.join(blocks.select(F.col("block").alias("d"), "data"), "d").select("d", "data", "group", "low")
+    shipped = pairs.join(with_queries.select(F.col("block").alias("q"), "group").join(floors.select("q", "low", "last"), "q"), "q")
+    todo = shipped.join(blocks.select(F.col("block").alias("d"), "data"), "d").select("d", "data", "group", "low", "last")
     found = seen.unionByName(todo.mapInArrow(lambda it: _block_pairs(it, k), FOUND))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -270,14 +270,14 @@ def test_search_drops_distant_nodes_of_clustered_vectors():
     rng = np.random.default_rng(8)
     centers = rng.normal(size=(64, 64))
     m = np.floor(64 * (centers[rng.integers(0, 64, 8192)] + 0.05 * rng.normal(size=(8192, 64))))
-    data, queries = topk.local_rows(0, np.arange(8192), np.ones(8192, np.uint8), m, "i2", 20)
+    data, queries = topk.local_rows(0, np.arange(8192), np.ones(8192, np.uint8), np.arange(8192), np.ones(8192, bool), m, "i2", 20)
     s = (queries.vecs.astype(float) @ data.vecs.astype(float).T)
     low = np.sort(s, axis=1)[:, -21]
     least = np.array([low[a:b].min(initial=np.inf) for a, b in zip(queries.starts, queries.starts[1:])])  # noqa: B905
     keep = topk.surviving(queries.tree, queries.radii, queries.tree.least(least), data.tree, data.radii)
     there = np.outer(np.diff(queries.starts) > 0, np.diff(data.starts) > 0)
     assert keep.sum() < 0.1 * there.sum()
-    got = topk.search_rows(queries, data, low, 20)
+    got = topk.search_rows(queries, data, low, np.full(len(low), topk.MOST), 20)
     assert sum(len(g[0]) for g in got) >= 20 * len(low)
 
 
