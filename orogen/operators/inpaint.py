@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogen.functions.pixel import div  # noqa: F401
-from orogen.plans.staging import stage
+from orogen.plans.staging import discard, stage
 
 
 def inpaint(grid: DataFrame) -> DataFrame:
@@ -28,7 +27,9 @@ def inpaint(grid: DataFrame) -> DataFrame:
             break
         ring += 1
         filled = filled.unionByName(new.withColumn("ring", F.lit(ring)))
-        holes = stage(holes.join(new, ["y", "x"], "left_anti"), "holes")
+        left = stage(holes.join(new, ["y", "x"], "left_anti"), "holes")
+        discard(holes)
+        holes = left
         frontier = new
     out = grid.withColumnRenamed("q", "was").join(filled, ["y", "x"], "left")
     return out.select("y", "x", F.coalesce("q", "was").alias("q"), "nodata", F.coalesce("ring", F.lit(-1)).alias("ring"))

@@ -317,8 +317,8 @@ def estimate_parts(planes: list[np.ndarray], extended: bool = False) -> tuple[fl
 
 
 def estimate(res: np.ndarray, extended: bool = False) -> float:
-    """Bits of a plane."""
-    return sum(estimate_parts([res], extended))
+    """Bits of a plane, to six digits, so that sums in another order compare alike."""
+    return round(sum(estimate_parts([res], extended)), 6)
 
 
 class Choice:
@@ -330,7 +330,7 @@ class Choice:
         self.bits, self.primary, self.second, self.params, self.params2, self.digit, self.planes = bits, primary, second, list(params), list(params2), digit, list(planes)
 
 
-def select(g: np.ndarray, r: Rect, multiplier: int = 1, extended: bool = False, use_wavelet: bool = False) -> Choice:
+def select(g: np.ndarray, r: Rect, multiplier: int = 1, extended: bool = False, use_wavelet: bool = False, bank: tuple[int, ...] = BANK) -> Choice:
     """The cheapest coding of a rectangle; earlier candidates win ties."""
     x, y, w, h = r
     b = g[y : y + h, x : x + w]
@@ -338,7 +338,7 @@ def select(g: np.ndarray, r: Rect, multiplier: int = 1, extended: bool = False,
         c = wavelet(b, wavelet_levels(w, h))
         return Choice(estimate(c, extended), planes=[c])
     span = int(b.max() - b.min())
-    kinds = (LEFT,) if span == 0 else tuple(k for k in BANK if k not in (POLYNOMIAL, MED)) if span > 200 else BANK
+    kinds = (LEFT,) if span == 0 else tuple(k for k in bank if k not in (POLYNOMIAL, MED)) if span > 200 else bank
     m = tdiv(g, multiplier) if multiplier > 1 else g
     best = Choice(math.inf)
     for k in kinds:

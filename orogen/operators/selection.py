@@ -1,18 +1,20 @@
-"""Choice of a predictor for each block, and of blocks by a quadtree, as joins and aggregates.
+"""Choice of a predictor for each block, and of blocks by a quadtree, as joins, aggregates and kernels.
 
-This form has the five predictors and six second passes that are column expressions. The polynomial surface
-needs a linear solver and is chosen among in :mod:`orogen.operators.codec`, which is the
-form that packs superblocks."""
+The choice for given blocks has the five predictors and six second passes that are column expressions. The polynomial surface
+needs a linear solver, so it is chosen among in :mod:`orogen.operators.codec`, which packs superblocks. The quadtree takes the same
+kernels, with a shuffle by superblock."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orogen.functions.pixel import tile
+from orogen.operators import kernels as kn
 from orogen.operators import stencils as st
 from orogen.operators.symbols import contexts, estimated_bits, symbols
-from orogen.plans.staging import stage
 
 GRADIENT, LEFT, MED, GAP, LEAST_SQUARES = 0, 1, 2, 4, 5
 #: Order of the bank, which decides ties, and parameters of each.
@@ -32,35 +34,8 @@ def fixed_blocks(df: DataFrame, size: int, block: int) -> DataFrame:
     return superblocks(df, size).withColumns({"level": F.lit(0), "node": node.cast("long")})
 
 
-def tree_nodes(df: DataFrame, size: int, least: int) -> DataFrame:
-    """A row for each pixel and tree level: its node (path of quarters), while its parent may be split.
-
-    A node splits at half its width and height rounded down, unless either is at most ``least``."""
-    df = superblocks(df, size)
-    ends = df.groupBy("sb").agg((F.max("x") - F.min("x") + 1).alias("cols"), (F.max("y") - F.min("y") + 1).alias("rws"), F.min("x").alias("x0"), F.min("y").alias("y0"))
-    cur = df.join(ends, "sb").withColumns({"level": F.lit(0), "node": F.lit(1).cast("long")})
-    out, level, extent = cur, 0, size
-    while extent > least:
-        may = (F.col("cols") > least) & (F.col("rws") > least)
-        w1, h1 = F.expr("cols div 2"), F.expr("rws div 2")
-        right, below = F.col("x") >= F.col("x0") + w1, F.col("y") >= F.col("y0") + h1
-        level += 1
-        cur = cur.where(may).select(
-            *[c for c in cur.columns if c not in ("cols", "rws", "x0", "y0", "level", "node")],
-            F.when(right, F.col("cols") - w1).otherwise(w1).alias("cols"),
-            F.when(below, F.col("rws") - h1).otherwise(h1).alias("rws"),
-            F.when(right, F.col("x0") + w1).otherwise(F.col("x0")).alias("x0"),
-            F.when(below, F.col("y0") + h1).otherwise(F.col("y0")).alias("y0"),
-            F.lit(level).alias("level"),
-            (F.col("node") * 4 + F.when(below, 2).otherwise(0) + F.when(right, 1).otherwise(0)).alias("node"),
-        )
-        out = out.unionByName(cur)
-        extent = -(-extent // 2)
-    return out
-
-
-def residuals(df: DataFrame) -> DataFrame:
-    """(sb, level, node, pid, params, y, x, r) of every candidate predictor that the range of its block allows."""
+def residuals(df: DataFrame, prune: bool = True) -> DataFrame:
+    """(sb, level, node, pid, params, y, x, r) of every predictor, or of every one that the range of its block allows."""
     df = st.neighbours(df, ["sb", "level"], "q", ("W", "N", "NW"), "s") if "sW" not in df.columns else df
     df = st.neighbours(df, BLOCK, "q")
     k = st.least_squares_weights(df, BLOCK, "q")
@@ -68,7 +43,7 @@ def residuals(df: DataFrame) -> DataFrame:
     df = df.join(k.join(span, BLOCK), BLOCK)
     guess = {GRADIENT: st.gradient("s"), LEFT: st.left("s"), MED: st.med("s"), GAP: st.gap(), LEAST_SQUARES: st.least_squares()}
     rows = F.array(*[F.struct(F.lit(p).alias("pid"), F.lit(rank).alias("rank"), F.lit(n).alias("params"), (F.col("q") - guess[p]).alias("r")) for rank, (p, n) in enumerate(BANK)])
-    allowed = F.when(F.col("delta") == 0, F.col("pid") == LEFT).when(F.col("delta") > 200, F.col("pid") != MED).otherwise(True)
+    allowed = F.lit(True) if not prune else F.when(F.col("delta") == 0, F.col("pid") == LEFT).when(F.col("delta") > 200, F.col("pid") != MED).otherwise(True)
     return df.select(*BLOCK, "y", "x", "delta", F.inline(rows)).where(allowed).drop("delta")
 
 
@@ -107,37 +82,37 @@ def choose(df: DataFrame, pool: bool = False) -> DataFrame:
     return best.select(*BLOCK, "m.pid", "m.second", "m.bits")
 
 
-def quadtree(df: DataFrame, size: int, least: int) -> DataFrame:
-    """(sb, level, node, pid, bits, cells, w) of the leaves. Costs of all nodes come from one pass; splits are then decided bottom-up.
-
-    A node of fewer bits than cells stays whole whatever its children cost; another is split if the leaves below it, a bit each for
-    leaves and splits included, cost less than it does."""
-    nodes = tree_nodes(df, size, least)
-    shape = nodes.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("cells"), F.min("cols").alias("w"), F.min("rws").alias("h"))
-    cost = stage(choose(nodes).join(shape, BLOCK), "nodes")
-    levels = 0
-    extent = size
-    while extent > least:
-        levels, extent = levels + 1, -(-extent // 2)
-    total = None  # (sb, node, sum) of the level below
-    split = {}
-    for level in range(levels, -1, -1):
-        here = cost.where(F.col("level") == level)
-        if total is None:
-            here = here.withColumn("below", F.lit(None).cast("double"))
-        else:
-            up = total.groupBy("sb", F.expr("node div 4").alias("node")).agg(F.sum("sum").alias("below"))
-            here = here.join(up, ["sb", "node"], "left")
-        cut = (F.col("bits") >= F.col("cells")) & (F.col("below") < F.col("bits"))
-        here = here.withColumn("cut", F.coalesce(cut, F.lit(False)))
-        split[level] = here
-        total = here.select("sb", "node", (F.when(F.col("cut"), F.col("below")).otherwise(F.col("bits")) + 1).alias("sum"))
-    out, reached = None, None
-    for level in range(levels + 1):
-        here = split[level]
-        if reached is not None:
-            here = here.join(reached, (here["sb"] == reached["__sb"]) & (F.expr("node div 4") == reached["__node"]), "left_semi")
-        leaves = here.where("not cut").select("sb", "level", "node", "pid", "bits", "cells", "w", "h")
-        out = leaves if out is None else out.unionByName(leaves)
-        reached = here.where("cut").select(F.col("sb").alias("__sb"), F.col("node").alias("__node"))
-    return out
+LEAVES = "sb long, level int, node long, pid int, second int, bits double, cells long, w int, h int"
+
+
+def path_of(r: kn.Rect, w: int, h: int) -> tuple[int, int]:
+    """Level and number of a leaf: 1 for the whole tile, and two bits more for each quarter on the way."""
+    x, y, level, node = 0, 0, 0, 1
+    while (x, y, w, h) != r:
+        a, b = w // 2, h // 2
+        right, below = r[0] >= x + a, r[1] >= y + b
+        x, w = (x + a, w - a) if right else (x, a)
+        y, h = (y + b, h - b) if below else (y, b)
+        level, node = level + 1, node * 4 + 2 * below + right
+    return level, node
+
+
+def quadtree(df: DataFrame, size: int, least: int, bank: tuple[int, ...] = tuple(p for p, _ in BANK)) -> DataFrame:
+    """(sb, level, node, pid, second, bits, cells, w, h) of the leaves, second passes included, as the encoder chooses them.
+
+    One shuffle by superblock, which has a bound on its size, then each superblock on its own. A node of fewer bits than cells stays
+    whole whatever its children cost; another is split if the leaves below it, a bit each for
+    leaves and splits included, cost less than it does. ``bank``: the predictors to choose among; by default
+    those that are column expressions."""
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(rows.y.min()), int(rows.x.min())
+        cells = np.zeros((int(rows.y.max()) - y0 + 1, int(rows.x.max()) - x0 + 1), np.int64)
+        cells[rows.y - y0, rows.x - x0] = rows.q
+        h, w = cells.shape
+        out = []
+        for r, c in kn.quadtree(cells, least, lambda r: kn.select(cells, r, bank=bank)):
+            out.append((key[0], *path_of(r, w, h), c.primary, c.second, c.bits, r[2] * r[3], r[2], r[3]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in LEAVES.split(", ")])
+
+    return superblocks(df, size).select("sb", "y", "x", "q").groupBy("sb").applyInPandas(one, LEAVES)

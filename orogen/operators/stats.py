@@ -26,17 +26,17 @@ def raw_stats(df: DataFrame, masked: str, digits: int = 6) -> DataFrame:
     )
 
 
-def percentiles(df: DataFrame, masked: str, cells: int) -> DataFrame:
-    """(fraction, value): nearest rank of a stride sample of the valid cells in raster order.
+def percentiles(df: DataFrame, masked: str, cells: int, most: int = SAMPLE) -> DataFrame:
+    """(fraction, value): nearest rank of a stride sample of the valid cells in raster order, of ``most`` cells.
 
     The ordinal of a cell comes from row counts, so that no task sees more than a row of
     the raster or the sample, which has a bound."""
-    stride = max(1, cells // SAMPLE)
+    stride = max(1, cells // most)
     ok = df.where(~F.col(masked))
     rows = ok.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
     start = rows.select("y", (F.sum("n").over(Window.orderBy("y")) - F.col("n")).alias("start"))
     ok = ok.join(start, "y").withColumn("ordinal", F.col("start") + F.row_number().over(Window.partitionBy("y").orderBy("x")) - 1)
-    sample = ok.where(F.col("ordinal") % stride == 0).where(F.col("ordinal") < F.lit(stride) * SAMPLE)
+    sample = ok.where(F.col("ordinal") % stride == 0).where(F.col("ordinal") < F.lit(stride) * most)
     s = sample.agg(F.sort_array(F.collect_list("z")).alias("s"))
     at = lambda f: F.floor(F.lit(f) * (F.size("s") - 1) + 0.5).cast("int")
     return s.where(F.size("s") > 0).select(F.explode(F.array(*[F.struct(F.lit(f).alias("fraction"), F.get("s", at(f)).alias("value")) for f in RANKS])).alias("r")).select("r.*")

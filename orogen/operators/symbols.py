@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orogen.functions.pixel import activity, magnitude, remainder, zigzag
@@ -10,10 +10,6 @@ from orogen.functions.pixel import activity, magnitude, remainder, zigzag
 RUN = 255
 
 
-def log2_sum(n: Column, total: Column) -> Column:
-    return F.sum(-n * F.log2(n / total))
-
-
 def entropy(df: DataFrame, keys: list[str], v: str) -> DataFrame:
     """(keys..., entropy) in bits a value."""
     n = df.groupBy(*keys, v).agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -65,3 +61,13 @@ def mask_runs(df: DataFrame, keys: list[str], mask: str) -> DataFrame:
     df = df.withColumn("flip", F.when(F.col(mask) != F.coalesce(F.lag(mask).over(order), F.lit(False)), 1).otherwise(0))
     df = df.withColumn("seq", F.sum("flip").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return df.groupBy(*keys, "seq").agg(F.first(mask).alias("masked"), F.count(F.lit(1)).cast("long").alias("run"))
+
+
+def mask_bytes(df: DataFrame, keys: list[str], mask: str) -> DataFrame:
+    """(keys..., bytes): the runs as a string of hex bytes. The first run is of cells that aren't masked, maybe of none; each
+    255 that a run holds is written as 255 and 0, and then the rest."""
+    runs = mask_runs(df, keys, mask)
+    one = F.concat(F.repeat(F.lit("FF00"), F.expr("cast(run div 255 as int)")), F.lpad(F.hex(F.col("run") % 255), 2, "0"))
+    parts = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", one.alias("b"), "masked"))).alias("parts"))  # a superblock has a bound on its cells
+    first = F.when(F.col("parts")[0]["masked"], F.lit("00")).otherwise(F.lit(""))
+    return parts.select(*keys, F.concat(first, F.array_join(F.transform("parts", lambda p: p["b"]), "")).alias("bytes"))

@@ -91,14 +91,14 @@ def bits(src: str, keys: str, out: str = "cost") -> str:
 K = "sb, level, node"
 
 
-def residuals(src: str) -> str:
+def residuals(src: str, prune: bool = True) -> str:
     """All candidate residuals of the blocks of ``src``."""
     one = lambda pid, rank, n, e: f"select {K}, y, x, {pid} as pid, {rank} as rank, {n} as params, q - {e} as r, delta from wide"
     return ", ".join([
         near(src, "sb, level", "q", "s", "s"), near("s", K, "q", "n"), weights("n", K),
         f"span as (select {K}, max(q) - min(q) as delta from {src} group by {K})",
         f"wide as materialized (select * from n join k using ({K}) join span using ({K}))",
-        "res as materialized (select * from (" + " union all ".join([one(0, 0, 0, gradient("s")), one(1, 1, 0, left("s")), one(2, 2, 0, med("s")), one(4, 3, 0, gap()), one(5, 4, 3, LS)]) + ") where case when delta = 0 then pid = 1 when delta > 200 then pid <> 2 else true end)",
+        "res as materialized (select * from (" + " union all ".join([one(0, 0, 0, gradient("s")), one(1, 1, 0, left("s")), one(2, 2, 0, med("s")), one(4, 3, 0, gap()), one(5, 4, 3, LS)]) + ")" + (" where case when delta = 0 then pid = 1 when delta > 200 then pid <> 2 else true end" if prune else "") + ")",
     ])
 
 
@@ -118,7 +118,7 @@ def with_pool(src: str) -> str:
         "pool as (" + " union all ".join([one(1, 0, AVERAGE), one(2, 0, MEDIAN), one(3, 0, left()), one(4, 0, gradient()), one(5, 0, gap()), one(6, 3, LS)]) + ")",
         runs("pool", deep, "r2", "psym"), bits("psym", deep, "pcost"),
         f"least2 as (select {K}, pid, unnest(arg_min({{'second': second, 'b2': b}}, (b, second))) from (select *, bits + 32 * more as b from pcost) group by {K}, pid)",
-        f"choice as (select {K}, unnest(arg_min({{'pid': pid, 'second': took, 'bits': t}}, (t, rank))) from (select *, round(case when took > 0 then b2 else bits end + 8 + 32 * params, 6) as t from (select *, case when coalesce(b2 < bits - 16, false) then second else 0 end as took from cost left join least2 using ({K}, pid))) group by {K})",
+        f"choice as materialized (select {K}, unnest(arg_min({{'pid': pid, 'second': took, 'bits': t}}, (t, rank))) from (select *, round(case when took > 0 then b2 else bits end + 8 + 32 * params, 6) as t from (select *, case when coalesce(b2 < bits - 16, false) then second else 0 end as took from cost left join least2 using ({K}, pid))) group by {K})",
     ])
 
 
@@ -132,7 +132,7 @@ def tree() -> str:
 
 
 def leaves() -> str:
-    return f"""{EMB}, tiles as (select y, x, case when y % 32 < 16 and x % 32 < 16 then 5 else q end as q, {TILE} as sb from emb), {tree()}, {chosen("nodes")},
+    return f"""{EMB}, {TILES}, {tree()}, {with_pool("nodes")},
         c as materialized (select * from choice join shape using ({K})),
         c2 as (select *, false as cut, bits + 1 as total from c where level = 2),
         b1 as (select sb, node // 4 as node, sum(total) as below from c2 group by all),
@@ -141,7 +141,7 @@ def leaves() -> str:
         c0 as (select c.*, coalesce(bits >= cells and below < bits, false) as cut from c left join b0 using (sb, node) where level = 0),
         l1 as (select c1.* from c1 semi join (select sb as s from c0 where cut) on sb = s),
         l2 as (select c2.* from c2 semi join (select sb as s, node as m from l1 where cut) on sb = s and node // 4 = m),
-        leaf as materialized (select sb, level, node, pid, bits, cells, w from c0 where not cut union all select sb, level, node, pid, bits, cells, w from l1 where not cut union all select sb, level, node, pid, bits, cells, w from l2)"""
+        leaf as materialized (select sb, level, node, pid, second, bits, cells, w from c0 where not cut union all select sb, level, node, pid, second, bits, cells, w from l1 where not cut union all select sb, level, node, pid, second, bits, cells, w from l2)"""
 
 
 def _residual(keys: str, e: str, src: str = "tiles") -> str:
@@ -179,6 +179,17 @@ def _sweep() -> str:
     return " union all ".join(parts)
 
 
+def _percentiles(most: int) -> str:
+    return f"with {EV}, c as (select greatest(1, count(*) // {most}) as stride from ev), o as (select z, row_number() over (order by y, x) - 1 as i from ev where not nodata), s as (select list_sort(list(z)) as s from o, c where i % stride = 0 and i < stride * {most}) {_RANKS}"
+
+
+def _lift(src: str, out: str) -> str:
+    """One level of the transform along rows of ``src``; rows and columns change places in the result."""
+    return f"""{out}a as (select *, row_number() over r - 1 as i, count(*) over (partition by sb, y) as n, lag(q) over r as b, lead(q) over r as f from {src} window r as (partition by sb, y order by x)),
+        {out}o as (select *, case when i % 2 = 1 then q - ((b + coalesce(f, b)) >> 1) end as d from {out}a), {out}e as (select *, lag(d) over r as db, lead(d) over r as df from {out}o window r as (partition by sb, y order by x)),
+        {out} as (select sb, y as x, case when i % 2 = 1 then (n + 1) // 2 + i // 2 else i // 2 end as y, case when i % 2 = 1 then d when n = 1 then q else q + ((coalesce(db, df) + coalesce(df, db) + 2) >> 2) end as q from {out}e)"""
+
+
 HEAD = f"with {EMB}, {TILES}, {BLOCKS}"
 ORACLES = {
     "quantize": f"with {ORD} select y, x, q from ord",
@@ -187,7 +198,8 @@ ORACLES = {
     "dequantize_masked": f"with {EV} select y, x, cast(round(case when nodata then -9999.0 else q * cast(0.1 as double) end, 6) as double) as z from ev",
     "inpaint_rings": _rings(),
     "raw_stats": f"with {EV} select count(*) as valid, min(z) as min, max(z) as max, round(avg(z), 6) as mean, round(stddev_pop(z), 6) as stddev from ev where not nodata",
-    "percentiles_nearest_rank": f"with {EV}, c as (select greatest(1, count(*) // 262144) as stride from ev), o as (select z, row_number() over (order by y, x) - 1 as i from ev where not nodata), s as (select list_sort(list(z)) as s from o, c where i % stride = 0 and i < stride * 262144) {_RANKS}",
+    "percentiles_nearest_rank": _percentiles(262144),
+    "percentiles_of_stride": _percentiles(300),
     "elevation_histogram50": f"with {EV}, e as (select min(z) as lo, max(z) as hi from ev where not nodata), b as (select case when hi > lo then least(49, cast(floor((z - lo) / (hi - lo) * 50) as bigint)) else 0 end as bucket, count(*) as count from ev, e where not nodata group by 1) select bucket, count, round(count / max(count) over (), 6) as height from b",
     "quantized_stats": f"with {EV} select count(*) filter (not nodata) as valid, count(*) filter (nodata) as masked, min(q) filter (not nodata) as min, max(q) filter (not nodata) as max, round(avg(q) filter (not nodata), 6) as mean, round(stddev_pop(q) filter (not nodata), 6) as stddev from ev",
     "spatial_correlation": _correlation(),
@@ -202,7 +214,7 @@ ORACLES = {
     "median_residual": _residual(K, MEDIAN, "blocks"),
     "ls_weights": f"{HEAD}, {near('blocks', K)}, {weights('n', K)} select sb, node, k1, k2, k3 from k",
     "ls_residual": f"{HEAD}, {near('blocks', K)}, {weights('n', K)} select y, x, q - {LS} as r from n join k using ({K})",
-    "predictor_ranking": f"with {EMB}, {TILES}, whole as (select *, 0 as level, 0 as node from tiles), {residuals('whole')}, c as (select pid, r, count(*) as n from res group by all) select pid, cast(sum(n) as bigint) as n, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) as entropy, round(sum(n * abs(r)) / sum(n), 6) as mean_abs from c group by pid",
+    "predictor_ranking": f"with {EMB}, {TILES}, whole as (select *, 0 as level, 0 as node from tiles), {residuals('whole', False)}, c as (select pid, r, count(*) as n from res group by all) select pid, cast(sum(n) as bigint) as n, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) as entropy, round(sum(n * abs(r)) / sum(n), 6) as mean_abs from c group by pid",
     "zero_run_symbols": f"with {EMB}, tiles as (select y, x, q // 100 as v, {TILE} as sb from emb), {runs('tiles', 'sb', 'v')} select * from sym",
     "extended_context_hist": f"with {EMB}, {TILES}, {near('tiles', 'sb')}, g as (select sb, y, x, q - {gradient()} as r from n), {near('g', 'sb', 'r', 'm', 'm')}, a as (select greatest(abs(coalesce(mW, 0)), abs(coalesce(mN, 0))) as a from m) select cast(case when a <= 2 then 0 when a <= 8 then 1 when a <= 32 then 2 else 3 end as bigint) as ctx, count(*) as n from a group by 1",
     "block_cost_estimate": f"{HEAD}, {near('tiles', 'sb')}, g as (select sb, {NODE} as node, y, x, q - {gradient()} as r from n), {runs('g', 'sb, node', 'r')}, {bits('sym', 'sb, node')} select sb, node, round(bits, 4) as bits from cost",
@@ -210,19 +222,19 @@ ORACLES = {
     "second_pass_choice": f"{HEAD}, {with_pool('blocks')} select sb, node, cast(pid as bigint) as pid, cast(second as bigint) as second, round(bits, 4) as bits from choice",
     "predictor_usage": f"{HEAD}, {chosen('blocks')} select cast(pid as bigint) as pid, count(*) as blocks, round(count(*) / sum(count(*)) over (), 6) as share from choice group by pid",
     "fixed_grid_blocks": f"{HEAD} select sb, node, min(x) as x0, min(y) as y0, max(x) - min(x) + 1 as w, max(y) - min(y) + 1 as h from blocks group by sb, node",
-    "quadtree_leaves": f"with {leaves()} select sb, cast(level as bigint) as level, node, cast(pid as bigint) as pid, round(bits, 4) as bits from leaf",
+    "quadtree_leaves": f"with {leaves()} select sb, cast(level as bigint) as level, node, cast(pid as bigint) as pid, cast(second as bigint) as second, round(bits, 4) as bits from leaf",
     "quadtree_leaf_counts": f"with {leaves()} select w, count(*) as leaves, cast(sum(cells) as bigint) as cells from leaf group by w",
-    "index_offsets": f"with {leaves()}, p as (select sb, node * cast(power(4, 2 - level) as bigint) as place, cast(ceil(round(bits / 8, 4)) as bigint) as bytes from leaf) select sb, place, cast(coalesce(sum(bytes) over (order by sb, place rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\", bytes from p",
+    "index_offsets": f"with {leaves()}, pay as (select sb, node * cast(power(4, 2 - level) as bigint) as place, cast(ceil(round(bits / 8, 4)) as bigint) as bytes from leaf) select sb, place, cast(coalesce(sum(bytes) over (order by sb, place rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\", bytes from pay",
     "entropy_budget": f"with {leaves()}, t as (select count(*) as leaves, cast(sum(cells) as bigint) as cells, sum(bits) as bits, var_pop(bits) as v from leaf), sized as (select *, bits / 8 + leaves * 36 + 256 as size from t) select leaves, cells, round(bits / cells, 4) as bpp, round(size, 2) as file_bytes, round(cells * 4 / size, 4) as ratio, round(sqrt(leaves * v) / 8, 3) as bytes_stddev from sized",
     "mask_rle": f"with {EV}, t as (select *, {TILE} as sb from ev), f as (select *, case when nodata <> coalesce(lag(nodata) over (partition by sb order by y, x), false) then 1 else 0 end as flip from t), s as (select *, sum(flip) over (partition by sb order by y, x rows unbounded preceding) as seq from f) select sb, cast(seq as bigint) as seq, any_value(nodata) as masked, count(*) as run from s group by sb, seq",
+    "mask_rle_bytes": f"with {EV}, t as (select *, {TILE} as sb from ev), f as (select *, case when nodata <> coalesce(lag(nodata) over (partition by sb order by y, x), false) then 1 else 0 end as flip from t), s as (select *, sum(flip) over (partition by sb order by y, x rows unbounded preceding) as seq from f), r as (select sb, seq, any_value(nodata) as masked, count(*) as run from s group by sb, seq) select sb, case when min(seq) = 1 then '00' else '' end || string_agg(repeat('FF00', run // 255) || lpad(to_hex(run % 255), 2, '0'), '' order by seq) as bytes from r group by sb",
     "roi_crop": f"with {ORD} select y - 5 as y, x - 17 as x, q from ord where x >= 17 and x < 57 and y >= 5 and y < 8",
     "roi_superblocks": f"{HEAD}, t as (select sb, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from tiles group by sb) select sb, x0, y0 from t where x1 >= 20 and x0 < 50 and y1 >= 40 and y0 < 130",
     "verify_diff": f"with {EV} select count(*) as checked, count(*) filter (not nodata and (y * 100 + x) % 97 = 0) as mismatched from ev",
     "left_decode": f"with {EMB} select y, x, q from emb",
     "gradient_decode": f"with {EMB} select y, x, q from emb",
-    "cdf53_row_level1": f"""with {EMB}, {TILES}, a as (select *, row_number() over r - 1 as i, count(*) over (partition by sb, y) as n, lag(q) over r as b, lead(q) over r as f from tiles where x < 41 window r as (partition by sb, y order by x)),
-        o as (select *, case when i % 2 = 1 then q - ((b + coalesce(f, b)) >> 1) end as d from a), e as (select *, lag(d) over r as db, lead(d) over r as df from o window r as (partition by sb, y order by x))
-        select sb, y, case when i % 2 = 1 then (n + 1) // 2 + i // 2 else i // 2 end as pos, case when i % 2 = 1 then d when n = 1 then q else q + ((coalesce(db, df) + coalesce(df, db) + 2) >> 2) end as coef from e""",
+    "cdf53_row_level1": f"with {EMB}, {TILES}, {_lift('tiles', 'l')} select sb, x as y, y as pos, q as coef from l",
+    "cdf53_level1": f"with {EMB}, {TILES}, {_lift('tiles', 'l')}, {_lift('l', 'm')} select sb, y, x, q as coef from m",
     "coarse_precision_sweep": _sweep(),
     "codec_round_trip": f"with {EV} select y, x, q, nodata from ev",
     "region_decode": f"with {EMB} select y - 40 as y, x - 20 as x, q from emb where x >= 20 and x < 50 and y >= 40 and y < 130",

@@ -10,7 +10,7 @@ from orogen.operators import codec, stats
 from orogen.operators import selection as sel
 from orogen.operators import stencils as st
 from orogen.operators.inpaint import inpaint
-from orogen.operators.symbols import contexts, entropy, mask_runs, symbols
+from orogen.operators.symbols import contexts, entropy, mask_bytes, mask_runs, symbols
 from orogen.sources import grids
 
 P, SB, LEAST = 0.001, 32, 8
@@ -68,6 +68,12 @@ def percentiles_nearest_rank(spark, d):
     return stats.percentiles(g, "nodata", g.count())
 
 
+def percentiles_of_stride(spark, d):
+    """As above, of a sample that the table does not fit in."""
+    g = _ev(spark, d)
+    return stats.percentiles(g, "nodata", g.count(), 300)
+
+
 def elevation_histogram50(spark, d):
     return stats.histogram(_ev(spark, d), "nodata")
 
@@ -134,7 +140,7 @@ def ls_residual(spark, d):
 def predictor_ranking(spark, d):
     """Bits a sample of each predictor over whole superblocks, by residual entropy, with mean absolute residuals."""
     df = _tiles(spark, d).withColumns({"level": F.lit(0), "node": F.lit(0).cast("long")})
-    res = sel.residuals(df).select("pid", "r")
+    res = sel.residuals(df, prune=False).select("pid", "r")
     e = entropy(res, ["pid"], "r")
     a = res.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs("r")), 6).alias("mean_abs"))
     return e.join(a, "pid").select("pid", "n", F.round("entropy", 6).alias("entropy"), "mean_abs")
@@ -176,16 +182,15 @@ def fixed_grid_blocks(spark, d):
 
 
 def _leaves(spark, d):
-    flat = (F.col("y") % 32 < 16) & (F.col("x") % 32 < 16)  # a quarter of each superblock is level ground
-    return sel.quadtree(_emb(spark, d).withColumn("q", F.when(flat, 5).otherwise(F.col("q"))), SB, LEAST)
+    return sel.quadtree(_emb(spark, d), SB, LEAST)
 
 
 def quadtree_leaves(spark, d):
-    return _leaves(spark, d).select("sb", F.col("level").cast("long").alias("level"), "node", F.col("pid").cast("long").alias("pid"), F.round("bits", 4).alias("bits"))
+    return _leaves(spark, d).select("sb", F.col("level").cast("long").alias("level"), "node", F.col("pid").cast("long").alias("pid"), F.col("second").cast("long").alias("second"), F.round("bits", 4).alias("bits"))
 
 
 def quadtree_leaf_counts(spark, d):
-    return _leaves(spark, d).groupBy("w").agg(F.count(F.lit(1)).alias("leaves"), F.sum("cells").alias("cells"))
+    return _leaves(spark, d).groupBy(F.col("w").cast("long").alias("w")).agg(F.count(F.lit(1)).alias("leaves"), F.sum("cells").alias("cells"))
 
 
 def index_offsets(spark, d):
@@ -240,7 +245,18 @@ def gradient_decode(spark, d):
 
 
 def cdf53_row_level1(spark, d):
-    return st.cdf53_rows(_tiles(spark, d).where("x < 41"), ["sb"], "q").select("sb", "y", F.col("pos").cast("long").alias("pos"), "coef")
+    return st.cdf53_rows(_tiles(spark, d), ["sb"], "q").select("sb", "y", F.col("pos").cast("long").alias("pos"), "coef")
+
+
+def cdf53_level1(spark, d):
+    """One level along rows, then along columns."""
+    rows = st.cdf53_rows(_tiles(spark, d), ["sb"], "q").select("sb", F.col("pos").cast("long").alias("y"), F.col("y").alias("x"), F.col("coef").alias("q"))
+    return st.cdf53_rows(rows, ["sb"], "q").select("sb", F.col("pos").cast("long").alias("y"), F.col("y").alias("x"), "coef")
+
+
+def mask_rle_bytes(spark, d):
+    """The runs of each superblock's mask as bytes in hex: unmasked first, a run of 255 or more goes on after a run of none."""
+    return mask_bytes(sel.superblocks(_ev(spark, d), SB), ["sb"], "nodata")
 
 
 def coarse_precision_sweep(spark, d):
@@ -269,9 +285,9 @@ def region_decode(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        quantize, dequantize_error, nodata_mask, dequantize_masked, inpaint_rings, raw_stats, percentiles_nearest_rank, elevation_histogram50, quantized_stats, spatial_correlation, digit_plane_entropy,
+        quantize, dequantize_error, nodata_mask, dequantize_masked, inpaint_rings, raw_stats, percentiles_nearest_rank, percentiles_of_stride, elevation_histogram50, quantized_stats, spatial_correlation, digit_plane_entropy,
         split_precision_planes, zigzag_class_hist, left_residual, gradient_residual, jpegls_residual, gap_residual, average_residual, median_residual, ls_weights, ls_residual, predictor_ranking, zero_run_symbols,
-        extended_context_hist, block_cost_estimate, best_predictor_per_block, second_pass_choice, predictor_usage, fixed_grid_blocks, quadtree_leaves, quadtree_leaf_counts, index_offsets, entropy_budget, mask_rle,
-        roi_crop, roi_superblocks, verify_diff, left_decode, gradient_decode, cdf53_row_level1, coarse_precision_sweep, codec_round_trip, region_decode,
+        extended_context_hist, block_cost_estimate, best_predictor_per_block, second_pass_choice, predictor_usage, fixed_grid_blocks, quadtree_leaves, quadtree_leaf_counts, index_offsets, entropy_budget, mask_rle, mask_rle_bytes,
+        roi_crop, roi_superblocks, verify_diff, left_decode, gradient_decode, cdf53_row_level1, cdf53_level1, coarse_precision_sweep, codec_round_trip, region_decode,
     )
 }
