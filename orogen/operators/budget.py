@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orogen.operators import codec
 from orogen.operators import kernels as kn
+from orogen.operators.tiles import by_tile
 
 LEAF, WHOLE = 0, 1
 COSTS = "kind int, sb long, w int, h int, pid int, second int, cells long, bits double, classes double, runs double, remainders double, params double, saved double, wavelet double, magnitude double"
@@ -37,7 +38,7 @@ def costs(grid: DataFrame, precision: float, wavelet: bool = False, leaves_only:
         return pd.DataFrame(rows, columns=NAMES)
 
     sb = F.floor(F.col("y") / size) * (1 << 20) + F.floor(F.col("x") / size)
-    return grid.select(sb.alias("sb"), "y", "x", "q").groupBy("sb").applyInPandas(one, COSTS)
+    return by_tile(grid.select(sb.alias("sb"), "y", "x", "q")).applyInPandas(one, COSTS)
 
 
 def totals(found: DataFrame) -> DataFrame:

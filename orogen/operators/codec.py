@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -10,199 +13,221 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orogen.operators import kernels as kn
+from orogen.operators.tiles import by_tile
 
 TILE, LEAST = 512, 64
-TOP, QUARTER, FULL = 1 << 31, 1 << 30, (1 << 32) - 1
-#: Starting counts of the first symbols; all others start at one.
-CLASS_START, RUN_START = (16, 8, 4, 2), (8, 4, 2)
+TOP, CARRY, WHOLE = 1 << 24, 0xFF000000, 0xFFFFFFFF
+LENGTHS = struct.Struct("<II")
+MOST_COUNT, GAIN, SLOWEST = 1 << 14, 32, 64
 
 
 class Table:
-    """Adaptive counts, halved before a count that would pass 16384."""
+    """Adaptive counts. Their sums, which the coder reads, are renewed after 4 symbols, then 8, and so on up to every 64."""
 
     def __init__(self, n: int, start: tuple[int, ...] = ()):
         self.n = [*start, *[1] * (n - len(start))]
-        self.total = sum(self.n)
+        self.step = self.left = 4
+        self.sums = [0, *accumulate(self.n)]
 
     def add(self, s: int) -> None:
-        if self.total >= 16384:
-            self.n = [max(1, x >> 1) for x in self.n]
-            self.total = sum(self.n)
-        self.n[s] += 1
-        self.total += 1
-
-
-class Model:
-    def __init__(self):
-        self.classes = [Table(33, CLASS_START) for _ in range(8)]
-        self.runs, self.coin = Table(255, RUN_START), Table(2)
-
-
-class Writer:
-    """Bits, most significant first, and an arithmetic coder over them."""
-
-    def __init__(self):
-        self.bits: list[str] = []
-        self.low, self.high, self.pending = 0, FULL, 0
-
-    def put(self, value: int, n: int) -> None:
-        self.bits.append(format(value & ((1 << n) - 1), f"0{n}b"))
-
-    def _bit(self, b: int) -> None:
-        self.bits.append(("1" + "0" * self.pending) if b else ("0" + "1" * self.pending))
-        self.pending = 0
-
-    def code(self, t: Table, s: int) -> None:
-        span, at = self.high - self.low + 1, sum(t.n[:s])
-        self.high = self.low + span * (at + t.n[s]) // t.total - 1
-        self.low += span * at // t.total
-        while True:
-            if not (self.high ^ self.low) & TOP:
-                self._bit(self.high >> 31)
-                self.low, self.high = (self.low << 1) & FULL, ((self.high << 1) | 1) & FULL
-            elif self.low & QUARTER and not self.high & QUARTER:
-                self.pending += 1
-                self.low, self.high = (self.low << 1) & FULL ^ TOP, ((self.high << 1) | 1) & FULL ^ TOP
-            else:
-                return
-
-    def finish(self) -> bytes:
-        self.pending += 1
-        self._bit(self.low >> 30 & 1)
-        s = "".join(self.bits)
-        s += "0" * (-len(s) % 8)
-        return int(s, 2).to_bytes(len(s) // 8, "big")
-
-
-class Reader:
+        self.n[s] += GAIN
+        self.left -= 1
+        if not self.left:
+            if sum(self.n) > MOST_COUNT:
+                self.n = [x + 1 >> 1 for x in self.n]
+            self.sums = [0, *accumulate(self.n)]
+            self.step = self.left = min(SLOWEST, 2 * self.step)
+
+
+def _tables() -> tuple[list[Table], Table]:
+    """Counts of classes by context, small ones likelier, and of run lengths."""
+    return [Table(33, (64, 32, 32, 24, 16, 16, 8, 8, 4, 4)) for _ in range(8)], Table(255, (8, 4, 2))
+
+
+def code(steps: list[tuple[Table, int]]) -> bytes:
+    """A range coder, a byte at a time: each symbol narrows the range to its share of its table's counts."""
+    out, low, width = bytearray(), 0, WHOLE
+    for t, s in steps:
+        sums = t.sums
+        unit = width // sums[-1]
+        low += unit * sums[s]
+        width = unit * (sums[s + 1] - sums[s])
+        t.add(s)
+        while width < TOP:
+            if low > WHOLE:  # carry into what is written
+                i = len(out) - 1
+                while out[i] == 255:
+                    out[i] = 0
+                    i -= 1
+                out[i] += 1
+                low &= WHOLE
+            out.append(low >> 24)
+            low, width = low << 8 & WHOLE, width << 8
+    if low > WHOLE:
+        i = len(out) - 1
+        while out[i] == 255:
+            out[i] = 0
+            i -= 1
+        out[i] += 1
+    return bytes(out) + (low & WHOLE).to_bytes(4, "big")
+
+
+class Source:
+    """The other end of :func:`code`."""
+
     def __init__(self, data: bytes):
-        self.s, self.at, self.excess = data, 0, 0
-        self.n = 8 * len(data)
-
-    def take(self, n: int) -> int:
-        out = 0
-        for _ in range(n):
-            bit = 0
-            if self.at < self.n:
-                bit = self.s[self.at >> 3] >> (7 - (self.at & 7)) & 1
-            else:
-                self.excess += 1
+        self.data, self.at, self.width = data, 4, WHOLE
+        self.value = int.from_bytes(data[:4], "big")
+
+    def next(self, t: Table) -> int:
+        sums = t.sums
+        unit = self.width // sums[-1]
+        s = min(bisect_right(sums, self.value // unit), len(sums) - 1) - 1
+        self.value -= unit * sums[s]
+        self.width = unit * (sums[s + 1] - sums[s])
+        t.add(s)
+        while self.width < TOP:
+            if self.at >= len(self.data):
+                raise RuntimeError("a block's bit stream ended early")
+            self.value = self.value << 8 | self.data[self.at]
             self.at += 1
-            out = out << 1 | bit
-        return out
-
-    def start(self) -> None:
-        self.low, self.high, self.value = 0, FULL, self.take(32)
-
-    def decode(self, t: Table) -> int:
-        span = self.high - self.low + 1
-        want = ((self.value - self.low + 1) * t.total - 1) // span
-        s = at = 0
-        while s + 1 < len(t.n) and at + t.n[s] <= want:
-            at += t.n[s]
-            s += 1
-        self.high = self.low + span * (at + t.n[s]) // t.total - 1
-        self.low += span * at // t.total
-        while True:
-            if not (self.high ^ self.low) & TOP:
-                self.low, self.high, self.value = (self.low << 1) & FULL, ((self.high << 1) | 1) & FULL, (self.value << 1 | self.take(1)) & FULL
-            elif self.low & QUARTER and not self.high & QUARTER:
-                self.low, self.high, self.value = (self.low << 1) & FULL ^ TOP, ((self.high << 1) | 1) & FULL ^ TOP, (self.value << 1 | self.take(1)) & FULL ^ TOP
-            else:
-                return s
-
-
-def write_plane(out: Writer, model: Model, res: np.ndarray, extended: bool, plane: int) -> None:
-    for c, mag, run, rem in zip(*[x.tolist() for x in kn.symbols(res, kn.contexts(res, extended, plane))], strict=True):
-        t = model.classes[c]
-        out.code(t, mag)
-        t.add(mag)
-        if run:
-            out.code(model.runs, run - 1)
-            model.runs.add(run - 1)
-        for j in range(mag - 2, -1, -1):
-            out.code(model.coin, rem >> j & 1)
-
-
-def read_plane(src: Reader, model: Model, w: int, h: int, extended: bool, plane: int) -> np.ndarray:
-    out, n = [], w * h
+            self.width <<= 8
+        return s
+
+
+def raw_bits(rem: np.ndarray, n: np.ndarray) -> bytes:
+    """The last ``n`` bits of each number, one after another."""
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.packbits(((np.repeat(rem, n) >> (np.repeat(n, n) - 1 - at)) & 1).astype(np.uint8)).tobytes()
+
+
+def from_raw_bits(data: bytes, n: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))[: n.sum()].astype(np.int64)
+    if len(bits) < n.sum():
+        raise RuntimeError("a block's bit stream ended early")
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    sums = np.concatenate([[0], np.cumsum(bits << (np.repeat(n, n) - 1 - at))])
+    ends = np.cumsum(n)
+    return sums[ends] - sums[ends - n]
+
+
+def write_plane(tables: tuple[list[Table], Table], res: np.ndarray, extended: bool, plane: int) -> bytes:
+    """Lengths of two parts, classes and runs as coded, and the bits below each value's leading one as they are."""
+    classes, runs = tables
+    ctx, mag, run, rem = kn.symbols(res, kn.contexts(res, extended, plane))
+    steps: list[tuple[Table, int]] = []
+    for c, m, r in zip(ctx.tolist(), mag.tolist(), run.tolist(), strict=True):
+        steps.append((classes[c], m))
+        if r:
+            steps.append((runs, r - 1))
+    body, rest = code(steps), raw_bits(rem, np.maximum(mag - 1, 0))
+    return LENGTHS.pack(len(body), len(rest)) + body + rest
+
+
+def read_plane(tables: tuple[list[Table], Table], data: memoryview, w: int, h: int, extended: bool, plane: int) -> tuple[np.ndarray, int]:
+    """The plane and how many bytes it took."""
+    if len(data) < LENGTHS.size:
+        raise RuntimeError("a block's bit stream ended early")
+    (n_body, n_rest), n = LENGTHS.unpack(data[: LENGTHS.size]), w * h
+    end = LENGTHS.size + n_body + n_rest
+    if end > len(data):
+        raise RuntimeError("a block's bit stream ended early")
+    src, rest = Source(bytes(data[LENGTHS.size : LENGTHS.size + n_body])), bytes(data[LENGTHS.size + n_body : end])
+    classes, runs = tables
+    take, at = src.next, 0
+    if extended:
+        return _read_by_neighbours(classes, runs, src, rest, w, h, plane), end
+    t, mags, places = classes[4 * plane], [], []
+    while at < n:
+        m = take(t)
+        if m:
+            mags.append(m)
+            places.append(at)
+            at += 1
+        else:
+            at += take(runs) + 1
+    out, mag = np.zeros(n, np.int64), np.array(mags, np.int64)
+    zz = (1 << np.maximum(mag - 1, 0)) + from_raw_bits(rest, np.maximum(mag - 1, 0)) if len(mag) else mag
+    out[np.array(places, np.int64)] = np.where(zz & 1, -(zz >> 1) - 1, zz >> 1)
+    return out.reshape(h, w), end
+
+
+def _read_by_neighbours(classes: list[Table], runs: Table, src: Source, rest: bytes, w: int, h: int, plane: int) -> np.ndarray:
+    """Where a symbol's context is the activity left of and above it, values are read one by one."""
+    out, n, bit = [], w * h, 0
     act = lambda v: (abs(v) > 2) + (abs(v) > 8) + (abs(v) > 32)
     while len(out) < n:
         i = len(out)
-        c = 4 * plane + (max(act(out[i - 1]) if i % w else 0, act(out[i - w]) if i >= w else 0) if extended else 0)
-        t = model.classes[c]
-        mag = src.decode(t)
-        t.add(mag)
-        if not mag:
-            run = src.decode(model.runs)
-            model.runs.add(run)
-            out += [0] * min(run + 1, n - i)
-        else:
-            zz = 1
-            for _ in range(mag - 1):
-                zz = zz << 1 | src.decode(model.coin)
-            out.append(zz >> 1 if not zz & 1 else -(zz >> 1) - 1)
-        if src.excess > 512:
-            raise RuntimeError("a block's bit stream ended early")
+        m = src.next(classes[4 * plane + max(act(out[i - 1]) if i % w else 0, act(out[i - w]) if i >= w else 0)])
+        if not m:
+            out += [0] * min(src.next(runs) + 1, n - i)
+            continue
+        k = m - 1
+        some = int.from_bytes(rest[bit >> 3 : (bit >> 3) + 6].ljust(6, b"\0"), "big") >> (48 - (bit & 7) - k) & ((1 << k) - 1)
+        bit += k
+        zz = 1 << k | some
+        out.append(zz >> 1 if not zz & 1 else -(zz >> 1) - 1)
+    if bit > 8 * len(rest):
+        raise RuntimeError("a block's bit stream ended early")
     return np.array(out, np.int64).reshape(h, w)
 
 
 def pack(c: kn.Choice, mask: np.ndarray, split: bool, extended: bool, use_wavelet: bool) -> bytes:
-    out = Writer()
+    out = bytearray()
     if not use_wavelet:
-        out.put(c.second << 5 | c.primary, 8)
+        out.append(c.second << 5 | c.primary)
         if split:
-            out.put(c.digit, 8)
+            out.append(c.digit)
         for params in (c.params, c.params2)[: 1 + (c.second != kn.NONE)]:
-            out.put(len(params), 8)
-            for p in params:
-                out.put(p, 32)
-    out.put(int(mask.any()), 1)
+            out.append(len(params))
+            out += np.array(params, "<i4").tobytes()
+    out.append(int(mask.any()))
     if mask.any():
         flat = mask.ravel()
         cuts = np.concatenate([[0], np.nonzero(np.diff(flat.astype(np.int8)))[0] + 1, [flat.size]])
         for run in ([0] if flat[0] else []) + np.diff(cuts).tolist():
-            while run >= 255:
-                out.put(255, 8)
-                out.put(0, 8)
-                run -= 255
-            out.put(run, 8)
-    model = Model()
+            out += b"\xff\0" * (run // 255) + bytes([run % 255])
+    tables = _tables()
     for i, plane in enumerate(c.planes):
-        write_plane(out, model, plane, extended, i)
-    return out.finish()
+        out += write_plane(tables, plane, extended, i)
+    return bytes(out)
+
+
+def _mask(data: memoryview, at: int, n: int) -> tuple[np.ndarray, int]:
+    out, done, value = np.zeros(n, bool), 0, False
+    while done < n:
+        run = 0
+        while data[at] == 255:  # a long run goes on after a run of none
+            run, at = run + 255, at + 2
+        run += data[at]
+        at += 1
+        out[done : done + run] = value
+        done, value = done + run, not value
+    return out, at
 
 
 def unpack(data: bytes, tile: np.ndarray, r: kn.Rect, multiplier: int, extended: bool, use_wavelet: bool) -> np.ndarray:
     """Writes a block into its tile and returns its mask; blocks come in Z order."""
     x, y, w, h = r
-    src = Reader(data)
+    src, at = memoryview(data), 0
     split = multiplier > 1 and not use_wavelet
     primary, second, digit, params = 0, kn.NONE, None, [[], []]
-    if not use_wavelet:
-        head = src.take(8)
-        primary, second = head & 31, head >> 5
-        digit = src.take(8) if split else None
-        if primary not in kn.BANK or second > kn.LEAST_SQUARES2 or split and digit not in (kn.GRADIENT, kn.LEFT, kn.GAP, kn.IDENTITY):
-            raise RuntimeError("a block names a predictor that there is not")
-        for i in range(1 + (second != kn.NONE)):
-            params[i] = [(v := src.take(32)) - ((v >> 31) << 32) for _ in range(src.take(8))]
-    mask = np.zeros(w * h, bool)
-    if src.take(1):
-        at, value = 0, False
-        while at < w * h:
-            run = part = src.take(8)
-            while part == 255 and not src.excess:  # a long run goes on after a run of none
-                src.take(8)
-                part = src.take(8)
-                run += part
-            if src.excess:
-                raise RuntimeError("a block's mask ended early")
-            mask[at : at + run] = value
-            at, value = at + run, not value
-    src.start()
-    model = Model()
-    res = read_plane(src, model, w, h, extended, 0)
+    try:
+        if not use_wavelet:
+            primary, second, at = src[0] & 31, src[0] >> 5, 1
+            if split:
+                digit, at = src[1], 2
+            if primary not in kn.BANK or second > kn.LEAST_SQUARES2 or split and digit not in (kn.GRADIENT, kn.LEFT, kn.GAP, kn.IDENTITY):
+                raise RuntimeError("a block names a predictor that there is not")
+            for i in range(1 + (second != kn.NONE)):
+                n = src[at]
+                params[i] = np.frombuffer(src[at + 1 : at + 1 + 4 * n], "<i4").tolist()
+                at += 1 + 4 * n
+        mask, at = _mask(src, at + 1, w * h) if src[at] else (np.zeros(w * h, bool), at + 1)
+    except (IndexError, ValueError):
+        raise RuntimeError("a block's head ended early") from None
+    tables = _tables()
+    res, n = read_plane(tables, src[at:], w, h, extended, 0)
     if use_wavelet:
         tile[y : y + h, x : x + w] = kn.unwavelet(res, kn.wavelet_levels(w, h))
         return mask.reshape(h, w)
@@ -211,7 +236,7 @@ def unpack(data: bytes, tile: np.ndarray, r: kn.Rect, multiplier: int, extended:
     if not split:
         kn.restore(primary, res, params[0], tile, r)
         return mask.reshape(h, w)
-    low = read_plane(src, model, w, h, extended, 1)
+    low, _ = read_plane(tables, src[at + n :], w, h, extended, 1)
     m = kn.tdiv(tile, multiplier)
     p = tile - m * multiplier
     kn.restore(primary, res, params[0], m, r)
@@ -259,7 +284,7 @@ def encode(grid: DataFrame, precision: float = 1.0, extended: bool = False, use_
         return pd.DataFrame(rows, columns=["sb", "leaf", "x", "y", "w", "h", "predictor", "second", "bits", "payload", "crc"])
 
     sb = F.floor(F.col("y") / size) * (1 << 20) + F.floor(F.col("x") / size)
-    return grid.select(sb.alias("sb"), "y", "x", "q", "nodata").groupBy("sb").applyInPandas(one, BLOCKS)
+    return by_tile(grid.select(sb.alias("sb"), "y", "x", "q", "nodata")).applyInPandas(one, BLOCKS)
 
 
 def decode(blocks: DataFrame, precision: float = 1.0, extended: bool = False, use_wavelet: bool = False) -> DataFrame:
@@ -279,7 +304,7 @@ def decode(blocks: DataFrame, precision: float = 1.0, extended: bool = False, us
         y, x = np.mgrid[: shape[0], : shape[1]]
         return pd.DataFrame({"y": y.ravel() + y0, "x": x.ravel() + x0, "q": tile.ravel(), "nodata": mask.ravel()})
 
-    return blocks.groupBy("sb").applyInPandas(one, "y long, x long, q long, nodata boolean")
+    return by_tile(blocks).applyInPandas(one, "y long, x long, q long, nodata boolean")
 
 
 def region(blocks: DataFrame, x: int, y: int, w: int, h: int, size: int = TILE) -> DataFrame:

@@ -19,6 +19,9 @@ Rect = tuple[int, int, int, int]
 
 
 def tdiv(a, b):
+    """Division cut towards zero."""
+    if isinstance(b, int) and b & (b - 1) == 0:
+        return a + (a >> 63 & (b - 1)) >> b.bit_length() - 1
     return np.sign(a) * (np.abs(a) // b)
 
 
@@ -162,33 +165,62 @@ def restore(kind: int, res: np.ndarray, params: list[int], g: np.ndarray, r: Rec
         return
     if kind == LEAST_SQUARES and len(params) < 3:
         raise RuntimeError("least squares needs three weights")
-    rows, block = res.tolist(), kind in (GAP, LEAST_SQUARES)
-    cut = lambda a, b: abs(a) // b * (1 if a >= 0 else -1)
-    out: list[list[int]] = []
-    for j in range(h):
-        top = out[j - 1] if j else ([0] * w if block or not y else g[y - 1, x : x + w].tolist())
-        corner = int(g[y + j - 1, x - 1]) if not block and x and y + j else 0
-        before = int(g[y + j, x - 1]) if not block and x else 0
-        row: list[int] = []
-        for i in range(w):
-            if not block:
-                a, b, c = (row[i - 1] if i else before), top[i], (top[i - 1] if i else corner)
-                p = a if kind == LEFT else a + b - c
-                if kind == MED and (c >= max(a, b) or c <= min(a, b)):
-                    p = min(a, b) if c >= max(a, b) else max(a, b)
-            elif not j or not i:
-                p = row[i - 1] if i else top[0] if j else 0
-            elif kind == LEAST_SQUARES:
-                p = cut(params[0] * row[i - 1] + params[1] * top[i] + params[2] * top[i - 1], 256)
-            else:
-                a, b, c = row[i - 1], top[i], top[i - 1]
-                ne = top[i + 1] if i + 1 < w else b
-                ww, nn = (row[i - 2] if i > 1 else a), (out[j - 2][i] if j > 1 else b)
-                nne = out[j - 2][i + 1] if i + 1 < w and j > 1 else ne
-                p = int(gap_value(*map(np.int64, (a, b, c, ne, ww, nn, nne))))
-            row.append(rows[j][i] + p)
-        out.append(row)
-    g[y : y + h, x : x + w] = out
+    if kind in (GAP, LEAST_SQUARES):
+        out = _from_edges(res)
+        _wave(out, res, _gap_wave if kind == GAP else lambda z: tdiv(params[0] * z["W"] + params[1] * z["N"] + params[2] * z["NW"], 256))
+        g[y : y + h, x : x + w] = out
+        return
+    z = np.zeros((h + 1, w + 1), np.int64)  # with what stands left of and above the rectangle
+    z[0, 1:] = g[y - 1, x : x + w] if y else 0
+    z[1:, 0] = g[y : y + h, x - 1] if x else 0
+    z[0, 0] = g[y - 1, x - 1] if x and y else 0
+    if kind == MED:
+        wide = np.zeros((h + 1, w + 1), np.int64)
+        wide[1:, 1:] = res
+        _wave(z, wide, lambda n: np.where(n["NW"] >= np.maximum(n["W"], n["N"]), np.minimum(n["W"], n["N"]), np.where(n["NW"] <= np.minimum(n["W"], n["N"]), np.maximum(n["W"], n["N"]), n["W"] + n["N"] - n["NW"])))
+        g[y : y + h, x : x + w] = z[1:, 1:]
+    elif kind == LEFT:
+        g[y : y + h, x : x + w] = np.cumsum(res, axis=1) + z[1:, :1]
+    else:
+        g[y : y + h, x : x + w] = np.cumsum(np.cumsum(res, axis=0), axis=1) + z[1:, :1] + z[:1, 1:] - z[0, 0]
+
+
+def _from_edges(res: np.ndarray) -> np.ndarray:
+    """A block with its first row summed from the left and its first column from above."""
+    out = np.zeros_like(res)
+    out[0], out[:, 0] = np.cumsum(res[0]), np.cumsum(res[:, 0])
+    return out
+
+
+def _gap_wave(z: dict[str, np.ndarray]) -> np.ndarray:
+    ne = np.where(z["i"] + 1 < z["w"], z["NE"], z["N"])
+    nn = np.where(z["j"] > 1, z["NN"], z["N"])
+    nne = np.where((z["i"] + 1 < z["w"]) & (z["j"] > 1), z["NNE"], ne)
+    return gap_value(z["W"], z["N"], z["NW"], ne, np.where(z["i"] > 1, z["WW"], z["W"]), nn, nne)
+
+
+#: Rows up and columns back of each neighbour, in a table of fronts: front i + 2j holds all cells that need only earlier fronts.
+_FRONT = {"W": (1, 0), "N": (2, 1), "NW": (3, 1), "NE": (1, 1), "WW": (2, 0), "NN": (4, 2), "NNE": (3, 2)}
+
+
+def _wave(out: np.ndarray, res: np.ndarray, guess) -> None:
+    """Fills ``out`` from its first row and column on with guess plus residual, front by front."""
+    h, w = out.shape
+    if h < 2 or w < 2:
+        return
+    j, i = np.mgrid[:h, :w]
+    at = (i + 2 * j + 4, j + 2)
+    fronts, add = np.zeros((w + 2 * h + 4, h + 2), np.int64), np.zeros((w + 2 * h + 4, h + 2), np.int64)
+    fronts[at], add[at] = out, res
+    for d in range(3, w + 2 * h - 2):
+        a, b = max(1, (d - w + 2) // 2), min(h - 1, (d - 1) // 2) + 1
+        if a >= b:
+            continue
+        rows = np.arange(a, b)
+        z = {k: fronts[d + 4 - up, a + 2 - back : b + 2 - back] for k, (up, back) in _FRONT.items()}
+        z |= {"i": d - 2 * rows, "j": rows, "w": w}
+        fronts[d + 4, a + 2 : b + 2] = guess(z) + add[d + 4, a + 2 : b + 2]
+    out[:] = fronts[at]
 
 
 def second_pass(kind: int, res: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -207,18 +239,12 @@ def undo_second_pass(kind: int, res: np.ndarray, params: list[int]) -> np.ndarra
     if kind in POOL_KERNEL:
         restore(POOL_KERNEL[kind], res, params, out, (0, 0, w, h))
         return out
-    cut = lambda a: abs(a) // 2 * (1 if a >= 0 else -1)
-    rows = res.tolist()
-    for j in range(h):
-        for i in range(w):
-            a, b = (rows[j][i - 1] if i else 0), (rows[j - 1][i] if j else 0)
-            if i and j:
-                c = rows[j - 1][i - 1]
-                p = cut(a) + cut(b) if kind == AVERAGE else max(min(a, b), min(max(a, b), c))
-            else:
-                p = a + b
-            rows[j][i] += p
-    return np.array(rows, np.int64).reshape(h, w)
+    out = _from_edges(res)
+    if kind == AVERAGE:
+        _wave(out, res, lambda z: tdiv(z["W"], 2) + tdiv(z["N"], 2))
+    else:
+        _wave(out, res, lambda z: np.maximum(np.minimum(z["W"], z["N"]), np.minimum(np.maximum(z["W"], z["N"]), z["NW"])))
+    return out
 
 
 def _split(v: np.ndarray) -> np.ndarray:
@@ -318,7 +344,21 @@ def estimate_parts(planes: list[np.ndarray], extended: bool = False) -> tuple[fl
 
 def estimate(res: np.ndarray, extended: bool = False) -> float:
     """Bits of a plane, to six digits, so that sums in another order compare alike."""
-    return round(sum(estimate_parts([res], extended)), 6)
+    if extended:
+        return round(sum(estimate_parts([res], True)), 6)
+    v = res.ravel()
+    places = np.flatnonzero(v)
+    some = v[places]
+    mag = (((some << 1) ^ (some >> 63)).astype(np.float64).view(np.int64) >> 52) - 1022  # bits of the zigzag numbers, from their exponents
+    at = np.concatenate([[-1], places, [v.size]])
+    gaps = np.diff(at) - 1
+    gaps = gaps[gaps > 0]
+    full, rest = int((gaps // 255).sum()), gaps % 255
+    runs = np.bincount(rest[rest > 0], minlength=256)
+    runs[255] += full
+    classes = np.bincount(mag, minlength=34)
+    classes[0] = runs.sum()
+    return round(_entropy_bits(classes) + _entropy_bits(runs) + float(mag.sum() - mag.size), 6)
 
 
 class Choice:

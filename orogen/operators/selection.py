@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orogen.functions.pixel import tile
 from orogen.operators import kernels as kn
 from orogen.operators import stencils as st
+from orogen.operators.tiles import by_tile
 from orogen.operators.symbols import contexts, estimated_bits, symbols
 
 GRADIENT, LEFT, MED, GAP, LEAST_SQUARES = 0, 1, 2, 4, 5
@@ -115,4 +116,4 @@ def quadtree(df: DataFrame, size: int, least: int, bank: tuple[int, ...] = tuple
             out.append((key[0], *path_of(r, w, h), c.primary, c.second, c.bits, r[2] * r[3], r[2], r[3]))
         return pd.DataFrame(out, columns=[c.split()[0] for c in LEAVES.split(", ")])
 
-    return superblocks(df, size).select("sb", "y", "x", "q").groupBy("sb").applyInPandas(one, LEAVES)
+    return by_tile(superblocks(df, size).select("sb", "y", "x", "q")).applyInPandas(one, LEAVES)

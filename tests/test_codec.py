@@ -82,3 +82,32 @@ def test_a_hole_is_filled(spark):
     rows = [(y, x, 0 if (y, x) == (1, 1) else 10 * (3 * y + x + 1), (y, x) == (1, 1)) for y in range(3) for x in range(3)]
     got = inpaint(spark.createDataFrame(rows, "y long, x long, q long, nodata boolean")).where("nodata").first()
     assert got["q"] == 50 and got["ring"] == 1
+
+
+@pytest.mark.parametrize("most", [1, 3, 50, 10**6])
+def test_estimates_are_sums_of_their_parts(most):
+    r = RNG.integers(-most, most + 1, (40, 70))
+    r[5:20] = 0
+    assert abs(kn.estimate(r) - sum(kn.estimate_parts([r]))) < 1e-5
+
+
+def test_level_ground_stays_whole(spark):
+    from orogen.operators import selection as sel
+
+    g = RNG.integers(-500, 500, (64, 96))
+    g[:16, :16] = 5
+    y, x = np.mgrid[:64, :96]
+    df = spark.createDataFrame(list(zip(y.ravel().tolist(), x.ravel().tolist(), g.ravel().tolist())), "y long, x long, q long")  # noqa: B905
+    leaves = sel.quadtree(df, 32, 8).collect()
+    assert sum(r["cells"] for r in leaves) == g.size
+    level = [r for r in leaves if r["sb"] == 0 and (r["level"], r["node"]) == (1, 4)]
+    assert len(level) == 1 and level[0]["pid"] == kn.LEFT and level[0]["bits"] < 256
+    assert sel.path_of((24, 8, 8, 8), 32, 32) == (2, 4 * (4 + 1) + 3)
+
+
+def test_planes_cut_anywhere_are_noticed():
+    g = RNG.integers(-500, 500, (32, 32))
+    (r, _, data), *_ = codec.encode_tile(g, RNG.random(g.shape) < 0.1, tree=False, least=32)
+    for n in (0, 1, 3, len(data) // 3, len(data) - 1):
+        with pytest.raises(RuntimeError):
+            codec.unpack(data[:n], np.zeros_like(g), r, 1, False, False)
