@@ -26,7 +26,7 @@ from orogen.llm.common import discard, passing_columns, staged, table
 ORDER = 4
 EDGE, AGAIN, POINTS = 0x110000, 0x110001, 0x110002
 POINT_BITS = 21
-BATCH_CHARS, CHUNK = 32 << 20, 1 << 20
+BATCH_CHARS, CHUNK = 16 << 20, 1 << 20
 FRACTION = 2.0**26  # logs travel as whole numbers of this fraction
 SEQ_BITS = 24
 QUANTILE, MARGIN = 0.95, 1.45
