@@ -103,7 +103,7 @@ def split_batch(texts: list[str]) -> Iterator[tuple[int, Batch]]:
 
 def _stream(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as w:
         w.write_table(t)
     return sink.getvalue().to_pybytes()
 
@@ -113,12 +113,11 @@ def _table(data: bytes) -> pa.Table:
         return r.read_all().combine_chunks()
 
 
-def packed(docs: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+def packed(docs: DataFrame, names: tuple[str, str, str], others: list[str]) -> DataFrame:
     """(batch, ids, texts, rest): documents in batches of about ``BATCH_CHARS``; ids in order, the columns ``names`` (id, language, text)
-    and all others as compressed streams."""
+    and the columns ``others`` as compressed streams."""
     id_col, lang_col, text_col = names
     mine = [F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text")]
-    others = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, seq, held, size = TaskContext.get().partitionId() << SEQ_BITS, 0, [], 0
@@ -241,9 +240,9 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), b.column(0)[x].as_py())), pa.array(np.arange(len(texts), dtype=np.int32)), t.column(0).combine_chunks(), t.column(1).combine_chunks(), pa.array(ppl, pa.float64())], names=["batch", "at", "id", "lang", "ppl"])
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float, held: int) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float, held: int, others: list[str]) -> tuple[DataFrame, DataFrame]:
     """The packed documents, and (batch, at, id, lang, ppl, most, keep) for each."""
-    batches = staged(packed(docs, (id_col, lang_col, text_col)), "batches")
+    batches = staged(packed(docs, (id_col, lang_col, text_col), others), "batches")
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("q")).where("q = 1").select("id")
     ids = batches.select("batch", F.posexplode("ids").alias("at", "id")).where("id is not null")
     # labels grow with the corpus, so they are merged at every size and never sent to all tasks
@@ -282,24 +281,26 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     a language without any takes the quantile over all. Null and empty texts have a null perplexity and are not kept.
     With nothing trusted all other texts are kept. Repeated rows are judged alike, an
     empty table gives an empty one, and other columns pass through untouched."""
-    batches, scores = judged(docs, labels, id_col, text_col, lang_col, quantile, margin, held)
+    others = [c for c in docs.columns if c != text_col or docs.schema[c].dataType.simpleString() != "string"]  # the text travels once
+    batches, scores = judged(docs, labels, id_col, text_col, lang_col, quantile, margin, held, others)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __ppl double, __most double, __keep boolean"
     names = [*docs.columns, "__ppl", "__most", "__keep"]
+    places = [others.index(c) if c in others else -1 for c in docs.columns]
 
     def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for x in range(b.num_rows):
-                rows = _table(b.column(0)[x].as_py())
-                got = sorted(b.column(1)[x].as_py(), key=lambda r: r["at"])
-                cols = [c.combine_chunks() for c in rows.columns] + [pa.array([r[k] for r in got], t) for k, t in (("ppl", pa.float64()), ("most", pa.float64()), ("keep", pa.bool_()))]
+                texts, rows = _table(b.column(0)[x].as_py()), _table(b.column(1)[x].as_py())
+                got = sorted(b.column(2)[x].as_py(), key=lambda r: r["at"])
+                cols = [(rows.column(i) if i >= 0 else texts.column(2)).combine_chunks() for i in places] + [pa.array([r[k] for r in got], t) for k, t in (("ppl", pa.float64()), ("most", pa.float64()), ("keep", pa.bool_()))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     verdicts = scores.groupBy("batch").agg(F.collect_list(F.struct("at", "ppl", "most", "keep")).alias("rows"))
-    out = batches.select("batch", "rest").join(staged(verdicts, "verdicts"), "batch").select("rest", "rows").mapInArrow(unpack, schema)
+    out = batches.select("batch", "texts", "rest").join(staged(verdicts, "verdicts"), "batch").select("texts", "rest", "rows").mapInArrow(unpack, schema)
     return out.withColumn("__keep", F.coalesce("__keep", F.coalesce(F.length(F.col(text_col).cast("string")) > 0, F.lit(False))))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    _, scores = judged(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "lang", QUANTILE, MARGIN, 5)
+    _, scores = judged(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "lang", QUANTILE, MARGIN, 5, [])
     return scores.select(F.col("id").alias("doc_id"), "lang", F.round("ppl", 6).alias("perplexity"), F.round("most", 6).alias("threshold"), "keep")
