@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,35 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucket_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of ``n`` that Spark deals each 64-bit number to: the Murmur3 hash of its two halves with seed 42, modulo ``n``."""
+    turn = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+    h = np.full(len(ids), 42, np.uint32)
+    for half in (ids & 0xFFFFFFFF, (ids >> 32) & 0xFFFFFFFF):
+        h = turn(h ^ turn(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return np.mod((h ^ (h >> np.uint32(16))).astype(np.int32), n)
+
+
+def staged_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``staged``, but dealt to ``bucket_count`` buckets by ``key``: joins on ``key`` then move the
+    other table alone. A task writes a file for each bucket that its keys fall in. The catalog knows the table only while it is read back."""
+    spark = df.sparkSession
+    path, at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", f"orogen_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(bucket_count(spark), key).option("path", path).saveAsTable(at)
+    out = spark.table(at)
+    out.schema  # noqa: B018  resolved before the catalog forgets the table
+    spark.sql(f"drop table {at}")
+    out.staged_at = path
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder through Spark's own file systems, wherever it is."""
     jvm = spark.sparkContext._jvm

@@ -21,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm.common import discard, passing_columns, staged, table
+from orogen.llm.common import bucket_count, bucket_of, discard, passing_columns, staged, staged_by, table
 
 ORDER = 4
 EDGE, AGAIN, POINTS = 0x110000, 0x110001, 0x110002
 POINT_BITS = 21
 BATCH_CHARS, CHUNK = 16 << 20, 1 << 20
 FRACTION = 2.0**26  # logs travel as whole numbers of this fraction
-SEQ_BITS = 24
+SEQ_BITS = 32
 QUANTILE, MARGIN = 0.95, 1.45
 
 
@@ -115,20 +115,22 @@ def _table(data: bytes) -> pa.Table:
 
 def packed(docs: DataFrame, names: tuple[str, str, str], others: list[str]) -> DataFrame:
     """(batch, ids, texts, rest): documents in batches of about ``BATCH_CHARS``; ids in order, the columns ``names`` (id, language, text)
-    and the columns ``others`` as compressed streams."""
+    and the columns ``others`` as compressed streams. A task's batches have numbers of one bucket, so that they go to one file."""
+    buckets = bucket_count(docs.sparkSession)
     id_col, lang_col, text_col = names
     mine = [F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, seq, held, size = TaskContext.get().partitionId() << SEQ_BITS, 0, [], 0
+        task, held, size = TaskContext.get().partitionId(), [], 0
+        numbers = (int(k) for at in range(0, 1 << SEQ_BITS, CHUNK) for k in (task << SEQ_BITS) + at + np.flatnonzero(bucket_of((task << SEQ_BITS) + at + np.arange(CHUNK), buckets) == task % buckets))
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, held, size
+            nonlocal held, size
             t = pa.Table.from_batches(held)
             ids = t.column(0).combine_chunks()
             ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
-            cols = [pa.array([first + seq], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([_stream(t.select([0, 1, 2]))], pa.binary()), pa.array([_stream(t.select(list(range(3, t.num_columns))))], pa.binary())]
-            seq, held, size = seq + 1, [], 0
+            cols = [pa.array([next(numbers)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([_stream(t.select([0, 1, 2]))], pa.binary()), pa.array([_stream(t.select(list(range(3, t.num_columns))))], pa.binary())]
+            held, size = [], 0
             return pa.RecordBatch.from_arrays(cols, names=["batch", "ids", "texts", "rest"])
 
         for b in batches:
@@ -242,7 +244,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float, held: int, others: list[str]) -> tuple[DataFrame, DataFrame]:
     """The packed documents, and (batch, at, id, lang, ppl, most, keep) for each."""
-    batches = staged(packed(docs, (id_col, lang_col, text_col), others), "batches")
+    batches = staged_by(packed(docs, (id_col, lang_col, text_col), others), "batches", "batch")  # texts stay in their buckets from here on
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("q")).where("q = 1").select("id")
     ids = batches.select("batch", F.posexplode("ids").alias("at", "id")).where("id is not null")
     # labels grow with the corpus, so they are merged at every size and never sent to all tasks

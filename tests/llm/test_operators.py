@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from orogen.llm import catalog, cosine, html, langid, mixing, pieces, quality, secrets, simhash, topk
+from orogen.llm.common import bucket_of, staged_by
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, spans string, __key string"
 
@@ -506,3 +507,18 @@ def test_pipeline(spark, sf):
     assert stay == set(comp.values())
     out = p.run(spark, sf).collect()
     assert {r["doc_id"] for r in out} <= stay and all(r["lossless"] for r in out) and out
+
+
+def test_numbers_fall_in_the_buckets_that_spark_deals_them_to(spark):
+    ids = [0, -1, 5, 1 << 32, (7 << 32) + 12345, -(1 << 63), (1 << 63) - 1, *range(100, 300)]
+    want = {r["id"]: r["b"] for r in spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("id", "pmod(hash(id), 13) b").collect()}
+    assert dict(zip(ids, bucket_of(np.array(ids), 13).tolist(), strict=True)) == want
+
+
+def test_joins_leave_a_bucketed_table_in_place(spark):
+    big = staged_by(spark.range(100).selectExpr("id batch", "cast(id as string) t"), "big", "batch")
+    small = spark.range(200).selectExpr("id % 50 batch", "id v").groupBy("batch").agg(F.count("v").alias("n"))
+    out = big.hint("merge").join(small, "batch", "left")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(batch") == 1 and "Bucketed: true" in plan
+    assert {r["batch"]: r["n"] for r in out.collect()} == {i: 4 if i < 50 else None for i in range(100)}
