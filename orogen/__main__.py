@@ -1,4 +1,4 @@
-"""Command line: encode, decode, analyze, info, verify, version. Rasters are Parquet tables of (y, x, z)."""
+"""Command line: encode, decode, analyze, info, verify, version. Rasters are TIFF files, or Parquet tables of (y, x, z)."""
 
 from __future__ import annotations
 
@@ -11,8 +11,11 @@ from pyspark.sql import SparkSession
 
 from orogen import api
 from orogen.report import analyze
+from orogen.sources import tiff
 from orogen.sources.container import IDENTITY
 
+SUFFIXES = (".tif", ".tiff")
+
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="orogen")
@@ -32,8 +35,8 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--pipeline", choices=api.PIPELINES, default="predictor")
             c.add_argument("--context", choices=api.CONTEXTS, default="simple")
             c.add_argument("--disable-quadtree", action="store_true")
-            c.add_argument("--transform", type=float, nargs=6, default=IDENTITY)
-            c.add_argument("--wkt", default="")
+            c.add_argument("--transform", type=float, nargs=6)
+            c.add_argument("--wkt")
         if name == "decode":
             c.add_argument("--region", type=int, nargs=4, metavar=("X", "Y", "W", "H"))
         if name == "analyze":
@@ -43,28 +46,37 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _raster(spark: SparkSession, path: str, a: argparse.Namespace) -> api.Raster:
+    """What the options say goes before what the file says."""
+    found = tiff.read(spark, path) if path.lower().endswith(SUFFIXES) else api.Raster(spark.read.parquet(path).select("y", "x", "z"))
+    said = {k: getattr(a, k, None) for k in ("nodata", "transform", "wkt")}
+    return dataclasses.replace(found, **{k: tuple(v) if k == "transform" else v for k, v in said.items() if v is not None})
+
+
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     if a.command == "version":
         print(api.VERSION)
         return 0
     spark = SparkSession.builder.appName("orogen").getOrCreate()
-    raster = lambda path: api.Raster(spark.read.parquet(path).select("y", "x", "z"), a.nodata, tuple(getattr(a, "transform", IDENTITY)), getattr(a, "wkt", ""))
     try:
         if a.command == "encode":
-            out = dataclasses.asdict(api.encode(raster(a.input), a.output, api.parse_precision(a.precision), a.pipeline, a.context, a.disable_quadtree))
+            out = dataclasses.asdict(api.encode(_raster(spark, a.input, a), a.output, api.parse_precision(a.precision), a.pipeline, a.context, a.disable_quadtree))
         elif a.command == "decode":
             got = api.decode(spark, a.input, tuple(a.region) if a.region else None)
-            got.pixels.write.mode("overwrite").parquet(a.output)
+            if a.output.lower().endswith(SUFFIXES):
+                tiff.write(got, a.output)
+            else:
+                got.pixels.write.mode("overwrite").parquet(a.output)
             out = {"output": a.output, "transform": got.transform, "nodata": got.nodata}
         elif a.command == "analyze":
-            out = analyze(raster(a.input), api.parse_precision(a.precision), a.wavelet)
+            out = analyze(_raster(spark, a.input, a), api.parse_precision(a.precision), a.wavelet)
             if a.compact:
                 out = {k: out[k] for k in ("dataset", "compressibility")}
         elif a.command == "info":
             out = dataclasses.asdict(api.info(spark, a.input))
         else:
-            got = api.verify(spark, a.input, raster(a.source) if a.source else None)
+            got = api.verify(spark, a.input, _raster(spark, a.source, a) if a.source else None)
             out = dataclasses.asdict(got)
             print(json.dumps(out, indent=2))
             return 0 if got.passed else 1
