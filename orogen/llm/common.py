@@ -110,17 +110,18 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", lea
     """``big`` joined with ``small``, whose ``key`` is unique, whatever share of the rows a key holds.
 
     The ``most`` keys with the most rows of ``big``, of those with more than ``least``, have their rows of ``small`` sent
-    to all tasks; any other key holds less than one row in ``most`` and is merged. ``big`` is read once more, so it
-    should be a staged table."""
+    to all tasks; any other key holds less than one row in ``most`` and is merged, at every size: ``small`` grows with the
+    corpus, and the driver would have to hold it whole. ``big`` is read once more, so it should be a staged table."""
+    merged = small.hint("merge")
     counts = big.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > least)
     hot = [r[0] for r in counts.orderBy(F.desc("count")).limit(most).collect()]
     if not hot:
-        return big.join(small, key, how)
+        return big.join(merged, key, how)
     kind = big.schema[key].dataType.simpleString()
     keys = F.broadcast(big.sparkSession.createDataFrame([(k,) for k in hot], f"__hot {kind}"))
     pick = lambda t, way: t.join(keys, t[key] == keys["__hot"], way)
     few = F.broadcast(pick(small, "left_semi"))
-    return pick(big, "left_semi").join(few, key, how).unionByName(pick(big, "left_anti").join(small, key, how))
+    return pick(big, "left_semi").join(few, key, how).unionByName(pick(big, "left_anti").join(merged, key, how))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def components(edges: DataFrame) -> DataFrame:
             by = to.select(F.col("node").alias("label"), "to")
             labels = staged(join_hot(labels, by, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         ta, tb = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        moved = join_hot(e, ta, "a").join(tb, "b").where("x <> y")
+        moved = join_hot(e, ta, "a").join(tb.hint("merge"), "b").where("x <> y")
         after = staged(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         discard(e, to, before)
         e = after

@@ -6,6 +6,8 @@ Every distinct fingerprint is indexed under each segment as it is and under each
 segment with one bit made a wildcard. An equality join of those variants finds
 the pairs; the join itself verifies the distance and lets a pair through at its
 first common variant only, so no pair is made twice and none that is no link.
+Tables here grow with the corpus, so they are merged at every size: the driver
+would have to hold whole what it sends to all tasks.
 """
 
 from __future__ import annotations
@@ -99,14 +101,14 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     seg, whole = _first_common(x, distance)
     same = (left["s"] == right["s"]) & (left["p"] == right["p"]) & (left["rest"] == right["rest"])
     ok = (F.bit_count(x) <= distance) & (seg == left["s"]) & (whole == (left["p"] < 0)) & ((left["p"] >= 0) | (F.col("a") < F.col("b")))
-    return left.join(right, same & ok).select("a", "b")
+    return left.join(right.hint("merge"), same & ok).select("a", "b")
 
 
 def _classes(fps: DataFrame, distance: int) -> DataFrame:
     """(fp, class) of every fingerprint in ``fps`` (fp, repeated)."""
     distinct = staged(fps.select("fp").distinct(), "distinct")
     comp = components(links(distinct, distance)).withColumnRenamed("node", "fp")
-    return distinct.join(comp, "fp", "left").select("fp", F.coalesce("component", "fp").alias("class"))
+    return distinct.join(comp.hint("merge"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("class"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
@@ -118,7 +120,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are left out, whatever their names. An empty table gives an empty one."""
     fps = staged(fingerprints(docs, id_col, text_col, width), "simhash")
     class_of = _classes(fps, distance)
-    reps = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")).join(class_of, "fp"), "classes")
+    reps = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")).join(class_of.hint("merge"), "fp"), "classes")
     least = staged(reps.groupBy("class").agg(F.min("rep").alias("component_id")), "least")
     known = staged(join_hot(reps, least, "class").select("fp", "component_id"), "components")
     return join_hot(fps, known, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

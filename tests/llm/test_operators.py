@@ -128,6 +128,28 @@ def test_one_document_of_a_group_stays(spark, odd):
     assert ids.count(1) == 1 and None not in ids and len({2, 3, 6} & set(ids)) == 1 and 5 in ids
 
 
+def plans_of(spark, run):
+    """What ``run`` gives, and the plans of all its executions."""
+    jsc, store = spark.sparkContext._jsc.sc(), spark._jsparkSession.sharedState().statusStore()
+    jsc.listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    got = run()
+    jsc.listenerBus().waitUntilEmpty()
+    found = store.executionsList()
+    return got, [found.apply(i).physicalPlanDescription() for i in range(before, found.size())]
+
+
+def near_copies(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    return docs_of(spark, [(i, text.replace("word7 ", f"word{i} "), "en", "s") for i in range(40)])
+
+
+def test_simhash_sends_no_table_to_all_tasks(spark):
+    got, plans = plans_of(spark, simhash.near_duplicates(near_copies(spark)).collect)
+    assert len(got) == 40 and len({r["component_id"] for r in got}) < 20
+    assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_assignments_are_found_before_short_ones_are_dropped(spark):
     texts = ["secret:token = abcdef1", "pass PassWord=\"abcdef\" token: abc", "AKIA" + "B" * 16 + " AKIA123", "f" * 23 + " " + "0123456789abcdef" * 2]
     found = secrets.report(secrets.scan(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))).orderBy("doc_id").collect()
