@@ -135,9 +135,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = marked.select("__id", "__hash", F.col(text_col).cast("string").alias("text"))
     fps = staged(rows.mapInArrow(lambda it: _keyed(it, width), "id long, hash long, fp long"), "simhash")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
-    best = fps.groupBy("fp").agg(F.min(order).alias("row")).join(_classes(fps.select("fp"), distance), "fp")
+    best = fps.groupBy("fp").agg(F.min(order).alias("row")).join(_classes(fps.select("fp"), distance).hint("merge"), "fp")
     stay = best.groupBy("class").agg(F.min("row").alias("row")).select("row.id", "row.hash")
-    kept = marked.join(stay, marked["__id"].eqNullSafe(stay["id"]) & (marked["__hash"] == stay["hash"]), "left_semi")
+    kept = marked.join(stay.hint("merge"), marked["__id"].eqNullSafe(stay["id"]) & (marked["__hash"] == stay["hash"]), "left_semi")
     return kept.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
 
 

@@ -150,6 +150,12 @@ def test_simhash_sends_no_table_to_all_tasks(spark):
     assert plans and not any("BroadcastExchange" in p for p in plans)
 
 
+def test_one_document_of_a_group_stays_without_sending_tables_to_all_tasks(spark):
+    got, plans = plans_of(spark, simhash.deduplicated(near_copies(spark), width=5, distance=6).collect)
+    assert len(got) < 20 and 0 in {r["doc_id"] for r in got}
+    assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_assignments_are_found_before_short_ones_are_dropped(spark):
     texts = ["secret:token = abcdef1", "pass PassWord=\"abcdef\" token: abc", "AKIA" + "B" * 16 + " AKIA123", "f" * 23 + " " + "0123456789abcdef" * 2]
     found = secrets.report(secrets.scan(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))).orderBy("doc_id").collect()
