@@ -26,7 +26,7 @@ from orogen.llm.common import bucket_count, bucket_of, discard, passing_columns,
 ORDER = 4
 EDGE, AGAIN, POINTS = 0x110000, 0x110001, 0x110002
 POINT_BITS = 21
-BATCH_CHARS, CHUNK = 16 << 20, 1 << 20
+BATCH_CHARS, CHUNK = 8 << 20, 1 << 18  # a worker holds a batch and some arrays of a chunk; an executor holds two workers beside its heap
 FRACTION = 2.0**26  # logs travel as whole numbers of this fraction
 SEQ_BITS = 32
 QUANTILE, MARGIN = 0.95, 1.45
@@ -47,7 +47,7 @@ class Batch:
     def __init__(self, texts: list[str]):
         self.place = np.zeros(POINTS, np.uint16)
         self.alphabet = np.full(1, 0, np.int64)
-        each, self.full = [], False
+        self.codes, at, sizes, self.full = np.empty(sum(len(t) + ORDER for t in texts), np.uint16), 0, [], False
         for t in texts:
             s = symbols(t)
             new = np.unique(s[self.place[s] == 0])
@@ -56,10 +56,11 @@ class Batch:
                 break
             self.place[new] = np.arange(len(self.alphabet), len(self.alphabet) + len(new))
             self.alphabet = np.concatenate([self.alphabet, new])
-            each.append(self.place[s])
-        self.sizes = np.array([len(s) for s in each], np.int64)
+            self.codes[at : at + len(s)] = self.place[s]
+            at += len(s)
+            sizes.append(len(s))
+        self.sizes, self.codes = np.array(sizes, np.int64), self.codes[:at]
         self.ends = np.cumsum(self.sizes)
-        self.codes = np.concatenate(each) if each else np.empty(0, np.uint16)
 
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(n-gram, text that it is of) of texts that aren't empty, some at a time."""
@@ -108,8 +109,8 @@ def _stream(t: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _table(data: bytes) -> pa.Table:
-    with pa.ipc.open_stream(data) as r:
+def _table(data: pa.BinaryScalar) -> pa.Table:
+    with pa.ipc.open_stream(data.as_buffer()) as r:
         return r.read_all().combine_chunks()
 
 
@@ -155,7 +156,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(batch, part, context, last, c): the distinct n-grams of each batch, and how often the texts at ``fit`` hold them."""
     for b in batches:
         for x in range(b.num_rows):
-            texts = [t or "" for t in _table(b.column(1)[x].as_py()).column(2).to_pylist()]
+            texts = [t or "" for t in _table(b.column(1)[x]).column(2).to_pylist()]
             learn = np.zeros(len(texts), bool)
             learn[np.array(b.column(2)[x].as_py() or [], np.int64)] = True
             for at, some in split_batch(texts):
@@ -223,8 +224,8 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(batch, at, id, lang, ppl) of each document, null for an empty text; from (batch, texts, known)."""
     for b in batches:
         for x in range(b.num_rows):
-            t = _table(b.column(1)[x].as_py())
-            texts = [s or "" for s in t.column(2).to_pylist()]
+            t = _table(b.column(1)[x])
+            texts, t = [s or "" for s in t.column(2).to_pylist()], t.select([0, 1])
             known = b.column(2)[x].values
             context, rest = (np.asarray(known.field(i)) for i in range(2)) if known is not None else (np.empty(0, np.int64),) * 2
             part, last, logp = rest >> 53, (rest >> 32) & ((1 << POINT_BITS) - 1), (rest & 0xFFFFFFFF) / -FRACTION
@@ -292,7 +293,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for x in range(b.num_rows):
-                texts, rows = _table(b.column(0)[x].as_py()), _table(b.column(1)[x].as_py())
+                texts, rows = _table(b.column(0)[x]), _table(b.column(1)[x])
                 got = sorted(b.column(2)[x].as_py(), key=lambda r: r["at"])
                 cols = [(rows.column(i) if i >= 0 else texts.column(2)).combine_chunks() for i in places] + [pa.array([r[k] for r in got], t) for k, t in (("ppl", pa.float64()), ("most", pa.float64()), ("keep", pa.bool_()))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)

@@ -5,9 +5,12 @@ import hashlib
 import math
 import os
 import re
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -543,6 +546,30 @@ def test_numbers_fall_in_the_buckets_that_spark_deals_them_to(spark):
     assert dict(zip(ids, bucket_of(np.array(ids), 13).tolist(), strict=True)) == want
 
 
+BATCH_RUN = """
+import sys
+import pyarrow as pa
+from orogen.llm import quality
+mb = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmHWM")).split()[1]) / 1024
+texts, before = pa.array([open(sys.argv[1], "rb").read()], pa.binary()), mb()
+rows = 0
+for b in quality._counted(iter([pa.RecordBatch.from_arrays([pa.array([1]), texts, pa.array([[0, 2]])], names=["batch", "texts", "fit"])])):
+    rows += b.num_rows
+print(rows, mb() - before)
+"""
+
+
+def test_a_worker_holds_little_beside_a_batch(tmp_path):
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 9, 3000)])
+    texts = [" ".join(words[rng.integers(0, 3000, 500)]) for _ in range(quality.BATCH_CHARS // 3000)]
+    ids = list(range(len(texts)))
+    (tmp_path / "batch").write_bytes(quality._stream(pa.table([pa.array(ids), pa.array(["en"] * len(ids)), pa.array(texts)], ["id", "lang", "text"])))
+    done = subprocess.run([sys.executable, "-c", BATCH_RUN, str(tmp_path / "batch")], capture_output=True, text=True, check=True)
+    rows, mb = map(float, done.stdout.split())
+    assert rows > 10_000 and mb < 110  # two such workers are held beside an executor's heap
+
+
 def test_joins_leave_a_bucketed_table_in_place(spark):
     big = staged_by(spark.range(100).selectExpr("id batch", "cast(id as string) t"), "big", "batch")
     small = spark.range(200).selectExpr("id % 50 batch", "id v").groupBy("batch").agg(F.count("v").alias("n"))
