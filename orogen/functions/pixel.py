@@ -65,3 +65,8 @@ def activity(v: Column) -> Column:
 
 def tile(c: str, size: int) -> Column:
     return div(F.col(c), size)
+
+
+def rounded(v: Column, places: int) -> Column:
+    """As SQL engines round doubles: the scaled number to a whole one. Spark's own rounds the decimal digits, and so ties the other way."""
+    return F.round(v * float(10**places)) / float(10**places)

@@ -1,6 +1,6 @@
-"""Choice of a predictor for each block, and of blocks by a quadtree, as joins, aggregates and kernels.
+"""Choice of a predictor for each block, and of blocks by a quadtree, as aggregates and kernels.
 
-The choice for given blocks has the five predictors and six second passes that are column expressions. The polynomial surface
+The choice for given blocks has the five predictors and six second passes that are column expressions, in :mod:`orogen.operators.blocks`. The polynomial surface
 needs a linear solver, so it is chosen among in :mod:`orogen.operators.codec`, which packs superblocks. The quadtree takes the same
 kernels, with a shuffle by superblock."""
 
@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orogen.functions.pixel import tile
+from orogen.operators import blocks
 from orogen.operators import kernels as kn
 from orogen.operators import stencils as st
-from orogen.operators.tiles import by_tile
+from orogen.operators.tiles import by_tile, deal
 from orogen.operators.symbols import contexts, estimated_bits, symbols
 
 GRADIENT, LEFT, MED, GAP, LEAST_SQUARES = 0, 1, 2, 4, 5
@@ -52,35 +53,13 @@ def costs(res: DataFrame, keys: list[str], v: str = "r") -> DataFrame:
     return estimated_bits(symbols(contexts(res, keys, v, False), keys, v), keys)
 
 
-def second_pass(res: DataFrame) -> DataFrame:
-    """(sb, level, node, pid, second, bits): each residual plane predicted once more, where no more than 95 % are zero."""
-    keys = [*BLOCK, "pid"]
-    share = res.groupBy(*keys).agg((F.sum(F.when(F.col("r") == 0, 100).otherwise(0)) <= F.count(F.lit(1)) * 95).alias("go"))
-    df = st.neighbours(res.join(share.where("go"), keys), keys, "r")
-    df = df.join(st.least_squares_weights(df, keys, "r"), keys)
-    pool = (("average", 1, 0, st.average()), ("median", 2, 0, st.median()), ("left", 3, 0, st.left()), ("gradient", 4, 0, st.gradient()), ("gap", 5, 0, st.gap()), ("least squares", 6, 3, st.least_squares()))
-    rows = F.array(*[F.struct(F.lit(i).alias("second"), F.lit(n).alias("more"), (F.col("r") - e).alias("r2")) for _, i, n, e in pool])
-    wide = df.select(*keys, "y", "x", F.inline(rows))
-    keys = [*keys, "second", "more"]
-    return costs(wide, keys, "r2").withColumn("bits", F.col("bits") + F.col("more") * 32)
-
-
 def choose(df: DataFrame, pool: bool = False) -> DataFrame:
     """(sb, level, node, pid, second, bits) of the cheapest choice for each block; the first in the bank wins a tie.
 
-    A second pass must save more than 16 bits to be taken."""
-    res = residuals(df)
-    keys = [*BLOCK, "pid", "rank", "params"]
-    base = costs(res, keys)
-    if pool:
-        more = second_pass(res.select(*BLOCK, "pid", "y", "x", "r")).groupBy(*BLOCK, "pid").agg(F.min(F.struct("bits", "second")).alias("m"))
-        base = base.join(more, [*BLOCK, "pid"], "left").withColumn("take", F.coalesce(F.col("m.bits") < F.col("bits") - 16, F.lit(False)))
-        base = base.withColumn("second", F.when(F.col("take"), F.col("m.second")).otherwise(0)).withColumn("bits", F.when(F.col("take"), F.col("m.bits")).otherwise(F.col("bits")))
-    else:
-        base = base.withColumn("second", F.lit(0))
-    total = F.round(F.col("bits") + 8 + F.col("params") * 32, 6)
-    best = base.groupBy(*BLOCK).agg(F.min(F.struct(total.alias("bits"), "rank", "pid", "second")).alias("m"))
-    return best.select(*BLOCK, "m.pid", "m.second", "m.bits")
+    A second pass, of each residual plane of which no more than 95 % are zero, must save more than 16 bits to be taken. One shuffle
+    and one sort of the cells themselves: their residuals, up to 35 a cell, are only arrays of the batch at hand."""
+    rows = deal(df.select(*blocks.NAMES)).sortWithinPartitions("sb")
+    return rows.mapInArrow(blocks.chooser(BANK, pool), blocks.CHOICE)
 
 
 LEAVES = "sb long, level int, node long, pid int, second int, bits double, cells long, w int, h int"

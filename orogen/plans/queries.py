@@ -165,11 +165,11 @@ def block_cost_estimate(spark, d):
 
 
 def best_predictor_per_block(spark, d):
-    return sel.choose(_blocks(spark, d)).select("sb", "node", F.col("pid").cast("long").alias("pid"), F.round("bits", 4).alias("bits"))
+    return sel.choose(_blocks(spark, d)).select("sb", "node", F.col("pid").cast("long").alias("pid"), px.rounded(F.col("bits"), 4).alias("bits"))
 
 
 def second_pass_choice(spark, d):
-    return sel.choose(_blocks(spark, d), pool=True).select("sb", "node", F.col("pid").cast("long").alias("pid"), F.col("second").cast("long").alias("second"), F.round("bits", 4).alias("bits"))
+    return sel.choose(_blocks(spark, d), pool=True).select("sb", "node", F.col("pid").cast("long").alias("pid"), F.col("second").cast("long").alias("second"), px.rounded(F.col("bits"), 4).alias("bits"))
 
 
 def predictor_usage(spark, d):
