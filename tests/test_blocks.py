@@ -12,7 +12,7 @@ from orogen.operators import selection as sel
 from orogen.plans.oracles import ORACLES
 from orogen.plans.queries import QUERIES
 
-CHOICES = ("second_pass_choice", "coarse_precision_sweep", "best_predictor_per_block")
+CHOICES = ("second_pass_choice", "coarse_precision_sweep", "best_predictor_per_block", "predictor_usage")
 
 
 def _write(spark, path, rows):
