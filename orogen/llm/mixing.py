@@ -108,6 +108,17 @@ def uniform(key: Column, seed: int) -> Column:
     return bits / F.lit(2.0**52)
 
 
+def _drawn(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: dict[str, float] = ALPHA, rounds: int = ROUNDS, caps: int = CAPS, fraction: float = BUDGET, seed: int = SEED) -> DataFrame:
+    """``rows``, of which cells have been made, with ``__probability`` and ``__sampled``. They are read twice."""
+    names = {f"__{d}": d for d in DIMS}
+    cells = staged(rows.groupBy(*[F.col(a).alias(b) for a, b in names.items()]).agg(F.sum("__tokens").alias("tokens")), "cells")
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    raked = rake(cells, fraction * total, alpha, targets or {}, rounds, caps)
+    p = raked.select(*[F.col(d).alias(f"__{d}") for d in DIMS], (F.col("draw") / F.col("tokens")).alias("__probability"))
+    out = rows.join(p, list(names), "left").withColumn("__probability", F.coalesce("__probability", F.lit(0.0)))
+    return out.withColumn("__sampled", uniform(F.col("__key"), seed) < F.col("__probability"))
+
+
 @passing_columns
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of: Callable[[Column], Column] | None = None, topics: int = TOPICS, most_docs: float = MOST_DOCS,
@@ -122,18 +133,15 @@ def mix(
     empty and have topic ``other``. A cell without tokens has probability 0. A repeated row is drawn with its twins, as is a
     null id with other null ids. Other columns pass through; an empty table gives an empty one."""
     rows = _rows(docs, id_col, text_col, source_col, lang_col, topic_of or topic_by(marker_words(docs, text_col, topics, most_docs)))
-    names = {f"__{d}": d for d in DIMS}
-    cells = staged(rows.groupBy(*[F.col(a).alias(b) for a, b in names.items()]).agg(F.sum("__tokens").alias("tokens")), "cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    raked = rake(cells, fraction * total, alpha, targets or {}, rounds, caps)
-    p = raked.select(*[F.col(d).alias(f"__{d}") for d in DIMS], (F.col("draw") / F.col("tokens")).alias("__probability"))
-    out = rows.join(p, list(names), "left").withColumn("__probability", F.coalesce("__probability", F.lit(0.0)))
-    out = out.withColumn("__sampled", uniform(F.col("__key"), seed) < F.col("__probability"))
+    out = _drawn(rows, targets, alpha, rounds, caps, fraction, seed)
     return out.select(*docs.columns, "__topic", "__tokens", "__probability", "__sampled")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mix(table(spark, sf_dir, "documents"))
+    """As :func:`mix`. The result has no texts, so topics and tokens are staged and texts are read twice, not three times."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    rows = _rows(docs, "doc_id", "text", "source", "lang", topic_by(marker_words(docs, "text", TOPICS, MOST_DOCS)))
+    got = _drawn(staged(rows.drop("text"), "rows"))
     return got.select("doc_id", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.round("__probability", 6).alias("probability"), F.col("__sampled").alias("sampled"))
 
 

@@ -577,3 +577,10 @@ def test_joins_leave_a_bucketed_table_in_place(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(batch") == 1 and "Bucketed: true" in plan
     assert {r["batch"]: r["n"] for r in out.collect()} == {i: 4 if i < 50 else None for i in range(100)}
+
+
+def test_mix_result_reads_no_texts(spark, sf):
+    """Topics and tokens are staged: what writes the result doesn't parse the texts once more."""
+    from orogen.llm.mixing import op4_mix_sources
+
+    assert "regexp" not in op4_mix_sources(spark, sf)._jdf.queryExecution().toString().lower()
