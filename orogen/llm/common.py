@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import inspect
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Python workers live on between tasks, and what their allocators keep counts as theirs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 _folders: dict[str, list[str]] = {}  # by application, the folders that are in use in place of the session's own
 
 

@@ -21,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm.common import table
+from orogen.llm.common import give_back, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 RUN = re.compile(" *[^ ]+| +")
 LONG = 48  # symbols of a word beyond which the batch form leaves it to the agenda
 NONE = np.iinfo(np.int32).max
+TURNS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def words(text: str) -> list[str]:
@@ -129,6 +130,38 @@ def keys_of(turns: np.ndarray, places: np.ndarray) -> np.ndarray:
     return mix(mix(turns ^ np.uint64(0xD6E8FEB86659FD93)) + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+class Pairs:
+    """Which piece two pieces make, by two hash tables: a pair is at its place in one of them, or in none."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int], size: int):
+        self.bits, room = size.bit_length() + 1, max(4, (2 * len(pairs)).bit_length())
+        self.shift = 64 - room
+        held: list[dict[int, int]] = [{}, {}]
+        for (a, b), made in pairs.items():
+            now, t = (a << self.bits | b) << self.bits | made, 0
+            for _ in range(1000):
+                at = ((now >> self.bits) * TURNS[t] & 0xFFFFFFFFFFFFFFFF) >> self.shift
+                out = held[t].get(at)
+                held[t][at] = now
+                if out is None:
+                    break
+                now, t = out, 1 - t
+            else:
+                raise ValueError("no place for a pair")
+        self.tables = [np.full(1 << room, np.iinfo(np.int64).min) for _ in held]
+        for t, h in zip(self.tables, held, strict=True):
+            t[list(h)] = list(h.values())
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece of each pair, -1 where there is none; numbers below zero are no pieces."""
+        key = (a.astype(np.int64) << self.bits) | b
+        found = []
+        for t, turn in zip(self.tables, TURNS, strict=True):
+            got = t[((key.view(np.uint64) * np.uint64(turn)) >> np.uint64(self.shift)).view(np.int64)]
+            found.append(np.where((got >> self.bits) == key, got & ((1 << self.bits) - 1), -1))
+        return np.maximum(*found).astype(np.int32)
+
+
 class MergeDropout:
     """Merges by priority, each candidate skipped at ``rate`` by a hash of seed, text, place of the word and turn of the candidate.
 
@@ -145,9 +178,7 @@ class MergeDropout:
         ranked = v.score[order]
         self.rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
         pairs = {(v.ids[p[:i]], v.ids[p[i:]]): j for p, j in v.ids.items() for i in range(1, len(p)) if p[:i] in v.ids and p[i:] in v.ids}
-        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
-        by = np.argsort(keys)
-        self.pair_keys, self.pair_ids = keys[by], np.array(list(pairs.values()), np.int32)[by]
+        self.pairs = Pairs(pairs, len(order))
         self.char_id = np.full(0x110000, -2, np.int32)
         for p, i in v.ids.items():
             if len(p) == 1:
@@ -155,13 +186,12 @@ class MergeDropout:
         self.clear()
 
     def clear(self) -> None:
-        """Forgets all outcomes. Outcome ``i`` is of word ``word[i]`` with ``skips[i]``, after ``used[i]`` candidates."""
+        """Forgets all outcomes. Outcome ``i`` is of word ``word[i]`` with the skips of outcome ``source[i]`` and then ``last[i]``, after ``used[i]`` candidates."""
         self.root: dict[str, int] = {}  # the outcome of each word without skips
         self.child: dict[int, int] = {}  # from outcome << 32 | next skip
         self.word: list[str] = []
-        self.skips: list[tuple[int, ...]] = []
         self.out: list[bytes] = []
-        self.used = np.empty(0, np.int64)
+        self.source, self.last, self.used = (np.empty(0, np.int64) for _ in range(3))
 
     def gaps(self, keys: np.ndarray, k: int) -> np.ndarray:
         """How many candidates each key lets pass after its skip ``k - 1``: ``g`` or more with probability (1 - rate) ** g."""
@@ -218,71 +248,72 @@ class MergeDropout:
                 out += [got] if got is not None else self.v.char_bytes(s[i])
         return out
 
-    def _merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        q = (a.astype(np.int64) << 32) | (b.astype(np.int64) & 0xFFFFFFFF)
-        at = np.minimum(np.searchsorted(self.pair_keys, q), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == q) & (a >= 0) & (b >= 0), self.pair_ids[at], -1)
-
     def _candidates(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        got = self._merge(a, b)
-        return np.where(got >= 0, self.rank[got], NONE).astype(np.int32)
+        got = self.pairs.of(a, b)
+        return np.where(got >= 0, self.rank[got], NONE)
 
     def batch(self, some: list[str], variant: int) -> list[bytes]:
         """What :meth:`agenda` gives for each word, as raw 32-bit ids."""
         return self._outcomes(some, np.repeat(self._key(variant), len(some)))
 
-    def _grow(self, some: list[str], skips: list[tuple[int, ...]]) -> range:
-        """New outcomes, of words with as many skips each; all words of a width at once."""
+    def _grow(self, some: list[str], source: np.ndarray, last: np.ndarray, k: int) -> range:
+        """New outcomes, of words with ``k`` skips each; all words of a width at once."""
         out, used = [b""] * len(some), np.zeros(len(some), np.int64)
+        plan = np.empty((len(some), k), np.int64)
+        at, skip = source, last
+        for i in range(k - 1, -1, -1):
+            plan[:, i], at, skip = skip, self.source[at], self.last[at]
         by_len: dict[int, list[int]] = {}
         for i, w in enumerate(some):
             by_len.setdefault((len(w) + 4) // 4 * 4, []).append(i)
         for width, rows in by_len.items():
             for at in range(0, len(rows), 8192):
-                self._wide(some, skips, rows[at : at + 8192], width, out, used)
+                self._wide(some, plan, rows[at : at + 8192], width, out, used)
         first = len(self.out)
         self.word += some
-        self.skips += skips
         self.out += out
-        self.used = np.concatenate([self.used, used])
+        self.source, self.last, self.used = (np.concatenate(p) for p in ((self.source, source), (self.last, last), (self.used, used)))
         return range(first, len(self.out))
 
-    def _wide(self, some: list[str], skips: list[tuple[int, ...]], rows: list[int], width: int, out: list, used: np.ndarray) -> None:
+    def _wide(self, some: list[str], plan: np.ndarray, rows: list[int], width: int, out: list, used: np.ndarray) -> None:
         texts = [(" " + some[i]).ljust(width, "\0") for i in rows]
         n = np.array([len(some[i]) + 1 for i in rows])
-        ids = self.char_id[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].reshape(-1, width).copy()
-        ids[np.arange(width) >= n[:, None]] = -3
-        plan = np.array([skips[i] for i in rows], np.int64).reshape(len(rows), -1)
-        cand = self._candidates(ids[:, :-1], ids[:, 1:])
-        live, turns = np.arange(len(rows)), np.zeros(len(rows), np.int64)
-        done_ids, turn = ids.copy(), 0
-        while len(live):
+        side = width + 1  # the last column stands for what is beside a word
+        done_ids = np.full((len(rows), side), -3, np.int32)
+        done_ids[:, :width] = self.char_id[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].reshape(-1, width)
+        done_ids[:, :width][np.arange(width) >= n[:, None]] = -3
+        plan = plan[rows]
+        cand = np.full(done_ids.shape, NONE, np.int32)
+        cand[:, : width - 1] = self._candidates(done_ids[:, : width - 1], done_ids[:, 1:width])
+        after = np.tile(np.append(np.arange(1, side), width).astype(np.int32), (len(rows), 1))
+        before = np.tile(np.append(width, np.arange(width)).astype(np.int32), (len(rows), 1))
+        ids, live, turns, turn = done_ids, np.arange(len(rows)), np.zeros(len(rows), np.int64), 0
+        while True:
             j = cand.argmin(axis=1)
-            r = np.arange(len(live))
-            go = cand[r, j] < NONE
-            if not go.all():
-                done_ids[live[~go]], turns[live[~go]] = ids[~go], turn
-                ids, plan, cand, live, j = ids[go], plan[go], cand[go], live[go], j[go]
-                r = np.arange(len(live))
-                if not len(live):
+            line = np.arange(len(live)) * side
+            go = np.flatnonzero(cand.ravel()[line + j] < NONE)
+            if 4 * len(go) < 3 * len(live):
+                done_ids[live] = ids
+                if not len(go):
                     break
-            after = np.arange(width - 1) >= j[:, None]
-            passed = (plan == turn).any(axis=1)
+                ids, plan, cand, after, before, live, j = ids[go], plan[go], cand[go], after[go], before[go], live[go], j[go]
+                line, go = line[: len(go)], np.arange(len(go))
+            turns[live[go]] += 1
+            c, i, fore, back = cand.ravel(), ids.ravel(), after.ravel(), before.ravel()
+            if plan.shape[1]:
+                passed = (plan[go] == turn).any(axis=1)
+                c[line[go[passed]] + j[go[passed]]] = NONE
+                go = go[~passed]
             turn += 1
-            if passed.any():
-                cand[r[passed], j[passed]] = NONE
-                after[passed] = False
-                r = r[~passed]
-                j = j[r]
-            merged = self._merge(ids[r, j], ids[r, j + 1])
-            np.copyto(cand[:, :-1], cand[:, 1:].copy(), where=after[:, :-1])
-            np.copyto(ids[:, 1:-1], ids[:, 2:].copy(), where=after[:, :-1])
-            cand[r, -1], ids[r, -1] = NONE, -3
-            ids[r, j] = merged
-            for k in (j - 1, j):  # the pairs to either side are new
-                ok = (k >= 0) & (k < width - 1)
-                x, c = r[ok], k[ok]
-                cand[x, c] = self._candidates(ids[x, c], ids[x, c + 1])
+            first, j = line[go], j[go]
+            left = first + j
+            mid = first + fore[left]
+            beyond = fore[mid]
+            i[left] = whole = self.pairs.of(i[left], i[mid])
+            i[mid], c[mid] = -3, NONE
+            fore[left], back[first + beyond] = beyond, j
+            ahead = first + back[left]
+            c[left], c[ahead] = self._candidates(whole, i[first + beyond]), self._candidates(i[ahead], whole)
         used[rows] = turns
         has = done_ids != -3
         ends = (4 * np.cumsum(has.sum(axis=1))).tolist()
@@ -304,7 +335,7 @@ class MergeDropout:
         new = set(some).difference(self.root)
         long = [w for w in new if len(w) >= LONG]
         short = [w for w in new if len(w) < LONG]
-        self.root.update(zip(short, self._grow(short, [()] * len(short)), strict=True))
+        self.root.update(zip(short, self._grow(short, none := np.full(len(short), -1), none, 0), strict=True))
         self.root.update(dict.fromkeys(long, -1))
         node = np.array(list(map(self.root.__getitem__, some)), np.int64)
         for w in long:
@@ -316,11 +347,13 @@ class MergeDropout:
             more = skip < self.used[node[at]]
             at, skip, k = at[more], skip[more], k + 1
             to, back = np.unique(node[at] << 32 | skip, return_inverse=True)
-            to = to.tolist()
-            new = [x for x in to if x not in self.child]
-            words = [self.word[x >> 32] for x in new]
-            self.child.update(zip(new, self._grow(words, [(*self.skips[x >> 32], x & 0xFFFFFFFF) for x in new]), strict=True))
-            node[at] = np.array([self.child[x] for x in to], np.int64)[back]
+            next_ = np.array([self.child.get(x, -1) for x in to.tolist()], np.int64)
+            new = np.flatnonzero(next_ < 0)
+            source, last = to[new] >> 32, to[new] & 0xFFFFFFFF
+            grown = self._grow(list(map(self.word.__getitem__, source.tolist())), source, last, k)
+            self.child.update(zip(to[new].tolist(), grown, strict=True))
+            next_[new] = grown
+            node[at] = next_[back]
         got = list(map(self.out.__getitem__, node.tolist())) if self.out else [b""] * len(some)
         for i in np.nonzero(node < 0)[0].tolist():
             got[i] = np.array(self._agenda(some[i], keys[i : i + 1]), "<i4").tobytes()
@@ -365,6 +398,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.count(t.as_py()) for t in b.column(1)], pa.int64())], names=["doc_id", "n_tokens"])
     finally:  # the worker lives on, and may run other operators next
         c.known.clear()
+        give_back()
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
@@ -377,7 +411,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(lambda it: _counted(it, path), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long")
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, seed: int, rate: float, chunk: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, seed: int, rate: float, chunk: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     e = encoder(path, seed, rate)
     try:
         for b in batches:
@@ -398,7 +432,9 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, seed: int, rate: floa
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), lists, pa.array(back)], names=["doc_id", "ids", "lossless"])
                 at += len(some)
     finally:  # the worker lives on, and may run other operators next
+        some = split = ids = back = ends = lists = texts = keys = b = None
         e.clear()
+        give_back()
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, seed: int = 17, rate: float = 0.1) -> DataFrame:
