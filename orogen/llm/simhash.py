@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm.common import components, join_hot, passing_columns, staged, table
+from orogen.llm.common import components, giving_back, join_hot, passing_columns, staged, table
 
 BITS = 64
 SEED = 42
@@ -56,7 +56,7 @@ def _keyed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp) for every row, fp a signed 64-bit long."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _batches(it, width), "id long, fp long")
+    return rows.mapInArrow(giving_back(lambda it: _batches(it, width)), "id long, fp long")
 
 
 def _segments(distance: int) -> list[tuple[int, int]]:
@@ -133,7 +133,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row = {"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.col(text_col).cast("string"))}
     marked = docs.withColumns(row)
     rows = marked.select("__id", "__hash", F.col(text_col).cast("string").alias("text"))
-    fps = staged(rows.mapInArrow(lambda it: _keyed(it, width), "id long, hash long, fp long"), "simhash")
+    fps = staged(rows.mapInArrow(giving_back(lambda it: _keyed(it, width)), "id long, hash long, fp long"), "simhash")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
     best = fps.groupBy("fp").agg(F.min(order).alias("row")).join(_classes(fps.select("fp"), distance).hint("merge"), "fp")
     stay = best.groupBy("class").agg(F.min("row").alias("row")).select("row.id", "row.hash")

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from orogen.llm import catalog, cosine, html, langid, mixing, pieces, quality, secrets, simhash, topk
+from orogen.llm import catalog, common, cosine, html, langid, mixing, pieces, quality, secrets, simhash, topk
 from orogen.llm.common import bucket_of, staged_by
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, spans string, __key string"
@@ -401,9 +401,6 @@ def test_an_encoder_searches_no_sorted_pairs(monkeypatch):
 
 def test_workers_give_back_what_they_freed():
     """A worker that stays idle after encoding holds little more than before its batch."""
-    import subprocess
-    import sys
-
     code = """
 import pyarrow as pa
 from orogen.llm import pieces
@@ -419,6 +416,24 @@ assert held() - before < most / 2, (held() - before, most)
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
 
 
+def test_tasks_give_back_what_they_freed():
+    """Also where a task ends early or fails."""
+    calls = []
+    run = common.giving_back(lambda it: (b * 2 for b in it))
+    kept, common.give_back = common.give_back, lambda: calls.append(1)
+    try:
+        assert list(run(iter([1, 2]))) == [2, 4] and calls == [1]
+        some = run(iter([1, 2]))
+        assert next(some) == 2
+        some.close()
+        assert calls == [1, 1]
+        with pytest.raises(TypeError):
+            list(run(iter([None])))
+        assert calls == [1, 1, 1]
+    finally:
+        common.give_back = kept
+
+
 def test_longest_pieces_of_an_automaton():
     text = "abracadabra alakazam"
     a = langid.SuffixAutomaton(text)
